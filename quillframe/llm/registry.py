@@ -1,10 +1,12 @@
 """The corpus queries and their SQL oracles, as the driver registers them."""
 
-from quillframe.llm import exact_dedup, mixing
+from quillframe.llm import byte_cnn, exact_dedup, mixing, near_dedup
 
 QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op7_quality": byte_cnn.op7_quality,
 }
 ORACLES = {
     "op10_exact_dedup": exact_dedup.ORACLE,
