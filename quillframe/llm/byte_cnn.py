@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillframe.llm.common import held_out, labelled_sample, small_batches, table
 
@@ -147,8 +148,7 @@ def score_quality(docs: DataFrame, net: ByteCnn, text_col: str = "text", score_c
             frame[score_col] = [model.score(t) if isinstance(t, str) else model.score("") for t in frame[text_col]]
             yield frame
 
-    schema = docs.schema.add(score_col, "double")
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def op7_quality(spark, sf_dir):
