@@ -1,8 +1,9 @@
 """The corpus queries and their SQL oracles, as the driver registers them."""
 
-from quillframe.llm import byte_cnn, exact_dedup, mixing, near_dedup
+from quillframe.llm import byte_cnn, exact_dedup, mixing, near_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_near_dedup": near_dedup.op4_near_dedup,
