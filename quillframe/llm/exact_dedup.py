@@ -77,11 +77,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` (doc_id, kept) keeps, one per kept id.
 
-    Only ids that occur more than once are compared as rows, so texts are not
-    shuffled for the rest.
+    Rows without an id cannot be told apart and are not kept. Only rows whose
+    id occurs more than once are compared, so texts move once, in the join.
     """
-    ids = decisions.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = materialise(decisions.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     once = docs.join(ids.where("n = 1"), "doc_id", "left_semi")
+    if ids.where("n > 1").isEmpty():
+        return once
     again = docs.join(ids.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again)
 

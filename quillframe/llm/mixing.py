@@ -152,6 +152,32 @@ def mix_sources(docs: DataFrame, seed: int = 7, cap: float = 3.0, fan_in: int =
     )
 
 
+def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``docs`` with every row as often as ``mixed`` (doc_id, size, copies of its rows) takes it.
+
+    Rows that share an id are matched to their decisions by size; rows of one
+    id and size are alike to the mix, so any order among them will do. Rows
+    without an id are matched among themselves in the same way.
+    """
+    columns = docs.columns
+    taken = materialise(mixed.select("doc_id", "size", "copies"), "copies")
+    many = taken.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    chosen = taken.withColumnsRenamed({"doc_id": "__id", "size": "__size", "copies": "__copies"})
+    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    if many.isEmpty():
+        joined = docs.join(chosen.where("__copies > 0"), F.col("doc_id") == F.col("__id"))
+        return joined.withColumn("__copy", repeat).select(*columns)
+    many = many.withColumnRenamed("doc_id", "__many")
+    is_many = F.col("doc_id").eqNullSafe(F.col("__many"))
+    single = docs.join(many, is_many, "left_anti").join(chosen.where("__copies > 0"), F.col("doc_id") == F.col("__id"))
+    sized = docs.join(many, is_many, "left_semi").withColumn("__n", word_count(F.col("text")).cast("long"))
+    sized = sized.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "__n").orderBy(F.xxhash64("source", "text"))))
+    ranked = chosen.withColumn("__rank", F.row_number().over(Window.partitionBy("__id", "__size").orderBy("__copies")))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")) & (F.col("__row") == F.col("__rank"))
+    several = sized.join(ranked, match).where("__copies > 0")
+    return single.withColumn("__copy", repeat).select(*columns).unionByName(several.withColumn("__copy", repeat).select(*columns))
+
+
 def op2_mix_sources(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

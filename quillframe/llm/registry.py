@@ -1,10 +1,12 @@
 """The corpus queries and their SQL oracles, as the driver registers them."""
 
+import corpus_pipeline
 from quillframe.llm import ann, byte_cnn, exact_dedup, licenses, mixing, near_dedup, pieces, pii, secrets_scan, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_pii": pii.op3_pii,
     "op4_near_dedup": near_dedup.op4_near_dedup,
