@@ -136,3 +136,35 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
 
 def op9_licenses(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def oracle(templates=TEMPLATES, threshold: float = 0.8) -> str:
+    """The scan as plain SQL: every block against every template."""
+    quote = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places = []
+    for phrase, label in PHRASES:
+        parts = phrase.split()
+        same = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+        places.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'i': i, 'label': '{label}'}})")
+    rows = ", ".join(f"('{label}', {quote(sorted(set(t.split())))}, {math.ceil(threshold * len(set(t.split())) - 1e-9)})" for label, t in templates)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    every = places[0]
+    for p in places[1:]:
+        every = f"list_concat({every}, {p})"
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(low, '{word}') AS w FROM d),
+p AS (SELECT doc_id, len(w) AS n, {every} AS p FROM w),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{word}')) AS b FROM d),
+t(label, words, need) AS (VALUES {rows}),
+m AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(b, words)) / len(words)) AS best
+      FROM l JOIN t ON len(list_intersect(b, words)) >= need GROUP BY doc_id)
+SELECT p.doc_id, n AS n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.i)) AS first_word, list_max(list_transform(p, lambda x: x.i)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(more, [])))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM p LEFT JOIN m ON p.doc_id = m.doc_id
+"""
+
+
+ORACLE = oracle()

@@ -17,5 +17,7 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
 }
 ORACLES = {
+    "op4_near_dedup": near_dedup.ORACLE,
+    "op9_licenses": licenses.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
