@@ -102,10 +102,14 @@ def novel_spans(text: str, model: NoveltyModel, base: list[tuple[str, int, int]]
 
 
 def fit_novelty(docs: DataFrame, sample_rows: int = 400, crop: int = 2000, size: int = 16384) -> NoveltyModel:
-    """A dictionary from at most ``sample_rows`` crops of the corpus (smallest hashed ids) and code identifiers."""
+    """A dictionary from at most ``sample_rows`` crops of the corpus (smallest hashed ids) and code identifiers.
+
+    Long tokens with a digit are left out, so that the dictionary holds words
+    and not the secrets it is to find.
+    """
     ids = docs.where("text is not null and length(text) > 40").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", F.substring("text", 1, crop).alias("text")).collect()
-    samples = [r.text.encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    samples = [CANDIDATE.sub(lambda m: "" if re.search("[0-9]", m[0]) else m[0], r.text).encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
     try:
         content = zstandard.train_dictionary(size, samples, k=64, d=6, steps=1).as_bytes()[-size:]
     except zstandard.ZstdError:  # too little text to train on
