@@ -32,8 +32,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillframe.llm.common import held_out, labelled_sample, small_batches, table
 
-WINDOW, STEP, LEVEL = 64, 40, 6
-CUTS = (1, 2, 3, 4, 5, 6)
+WINDOW, STEP, LEVEL = 64, 40, 9
+CUTS = (1, 2, 3, 4, 5, 6, 8)
 COMMON_WORDS = 100
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -78,6 +78,16 @@ def telling(df: list[Counter], n: list[int], y: int, least_z: float = 4.5, least
     return out
 
 
+def extended(chosen: list[str], df: Counter, each: int = 24) -> list[str]:
+    """Every fragment after the most frequent whole words that begin with it, so that matches run on."""
+    out = []
+    for f in chosen:
+        stem = f.rstrip()
+        words = sorted(((n, w) for w, n in df.items() if w.endswith(" ") and w.startswith(stem) and w.rstrip() != stem and n >= 2), key=lambda x: (-x[0], x[1]))
+        out += [f] + [w for _, w in words[:each]]
+    return out
+
+
 @dataclass
 class ToxicityModel:
     """Dictionary contents and the logistic unit over window shares."""
@@ -138,7 +148,7 @@ def train(sample: list[tuple[str, int]], prior: float) -> ToxicityModel:
     chosen = [telling(df, n, y) for y in (0, 1)]
     common = [w.rstrip() for w, _ in (df[0] + df[1]).most_common() if w.endswith(" ")][:COMMON_WORDS]
     base = "".join(reversed(common)).encode()
-    own = ["".join(reversed(c)).encode() for c in chosen]
+    own = ["".join(reversed(extended(c, df[y]))).encode() for y, c in enumerate(chosen)]
     size = max(map(len, own))
     fill = [(base * (size // max(1, len(base)) + 1))[: size - len(x)] + x for x in own]
     model = ToxicityModel(base + fill[1], base + fill[0], np.zeros(width), 0.0)
@@ -164,7 +174,7 @@ def train(sample: list[tuple[str, int]], prior: float) -> ToxicityModel:
     return ToxicityModel(model.toxic, model.ordinary, w[:-1], float(w[-1] - cut))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 4000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 4000) -> ToxicityModel:
     """Learn from at most ``per_class`` training documents of each class (crops of ``max_chars``).
 
     Without labels of both classes every text scores the prior (0.5 without
