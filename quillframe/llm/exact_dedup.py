@@ -78,10 +78,12 @@ def keep_one(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` (doc_id, kept) keeps, one per kept id.
 
     Rows without an id cannot be told apart and are not kept. Only rows whose
-    id occurs more than once are compared, so texts move once, in the join.
+    id occurs more than once are compared, so texts move once, in the join. The
+    join is a shuffled hash join on the ids at every size: neither are the ids
+    broadcast while they are few, nor are the texts sorted.
     """
     ids = materialise(decisions.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    once = docs.join(ids.where("n = 1"), "doc_id", "left_semi")
+    once = docs.join(ids.where("n = 1").hint("shuffle_hash"), "doc_id", "left_semi")
     if ids.where("n > 1").isEmpty():
         return once
     again = docs.join(ids.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

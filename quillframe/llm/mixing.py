@@ -165,7 +165,7 @@ def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     chosen = taken.withColumnsRenamed({"doc_id": "__id", "size": "__size", "copies": "__copies"})
     repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
     if many.isEmpty():
-        joined = docs.join(chosen.where("__copies > 0"), F.col("doc_id") == F.col("__id"))
+        joined = docs.join(chosen.where("__copies > 0").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
         return joined.withColumn("__copy", repeat).select(*columns)
     many = many.withColumnRenamed("doc_id", "__many")
     is_many = F.col("doc_id").eqNullSafe(F.col("__many"))
