@@ -56,7 +56,7 @@ class WordHashes(dict):
     """xxh3 of a word's bytes, remembered; forgets everything when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

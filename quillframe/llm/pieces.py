@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from quillframe.llm.common import small_batches, splitmix, table
 
@@ -217,7 +217,7 @@ def decode_ids(ids, vocabulary: Vocabulary) -> str:
     return b"".join(map(vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _groups(texts: list[str], most_chars: int = 400_000) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most_chars: int = 250_000) -> Iterator[tuple[int, int]]:
     """Slices of bounded size; one long text is a slice of its own."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -229,27 +229,35 @@ def _groups(texts: list[str], most_chars: int = 400_000) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
-def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", alpha: float = 1.0, seed: int = 5, model_path: str = DEFAULT_MODEL) -> DataFrame:
+def encode(
+    docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", alpha: float = 1.0, seed: int = 5, model_path: str = DEFAULT_MODEL, lossless_col: str | None = None
+) -> DataFrame:
     """``docs`` with an ``ids`` column (replaced if it exists): one sampled segmentation a row.
 
     Null and empty texts have no ids. Rows with the same key and text get the
-    same ids; a null key is a key of its own.
+    same ids; a null key is a key of its own. ``lossless_col`` adds a column
+    that says whether decoding the ids gave the text back; it is checked in the
+    same pass, so that a task holds one Python worker.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(ids_col)
+    docs = docs.drop(ids_col, *([lossless_col] if lossless_col else []))
     shipped = spark.sparkContext.broadcast(Vocabulary.load(model_path))  # as large as the model's vocabulary
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shipped.value
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame[text_col]]
             keys = np.array([xxhash.xxh3_64_intdigest("" if pd.isna(k) else str(int(k)) if isinstance(k, (float, np.floating)) else str(k), seed) for k in frame[key_col]], np.uint64)
             for a, b in _groups(texts):
                 part = frame.iloc[a:b].copy()
-                part[ids_col] = sample_batch(texts[a:b], keys[a:b], shipped.value, alpha)
+                part[ids_col] = found = sample_batch(texts[a:b], keys[a:b], v, alpha)
+                if lossless_col:
+                    part[lossless_col] = [decode_ids(i.tolist(), v) == t for i, t in zip(found, texts[a:b])]
                 yield part
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+    extra = [StructField(ids_col, ArrayType(IntegerType()))] + ([StructField(lossless_col, BooleanType())] if lossless_col else [])
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, *extra]))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -269,8 +277,8 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", m
 
 def encode_checked(docs: DataFrame, **how) -> DataFrame:
     """Per row: doc_id, n_pieces, ids, and whether decoding gives the text back."""
-    done = decode(encode(docs.select("doc_id", "text"), **how))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    done = encode(docs.select("doc_id", "text"), lossless_col="lossless", **how)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
 def op6_sample_pieces(spark, sf_dir):
