@@ -66,7 +66,7 @@ def head_rows(spark: SparkSession, path: str, sep: str, code: str = "utf-8", row
 
 
 def _options(sep: str, code: str) -> dict[str, str]:
-    plain = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": "", "encoding": code}
+    plain = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": "", "encoding": code, "columnPruning": "false"}
     return plain | {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
 
 
@@ -101,7 +101,9 @@ def read_delimited(spark: SparkSession, path: str, *, sep: str | None = None, co
     shape = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(columns))] + [T.StructField(corrupt, T.StringType())])
     raw = spark.read.schema(shape).options(**_options(sep, code) | {"multiLine": str(multiline).lower()}, header=str(bool(header)).lower(), enforceSchema="true", mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt).csv(path)
     bad = F.raise_error(F.concat(F.lit("record with a wrong number of fields: "), F.col(corrupt))).cast("boolean")
-    fine = raw.where(F.when(F.col(corrupt).isNotNull(), bad).otherwise(True))
+    # Spark refuses to read the record column alone, so the check also looks at a field
+    wrong = F.col(corrupt).isNotNull() & (F.length(F.coalesce("f0", F.lit(""))) >= 0)
+    fine = raw.where(F.when(wrong, bad).otherwise(True))
     return fine.select(*[F.coalesce(f"f{i}", F.lit("")).alias(c) for i, c in enumerate(columns)])
 
 
