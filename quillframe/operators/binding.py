@@ -127,17 +127,18 @@ def bind(df: DataFrame, schema: Schema | None = None, mappings: bool = True) ->
 def with_ordinal(df: DataFrame, start: int = 1) -> DataFrame:
     """``df`` with ``__ordinal``: the contiguous position of each row in input order.
 
-    Two passes: rows a partition (one number each, collected), then an offset a
-    partition. No row leaves its partition.
+    Two passes: rows a partition (two numbers each, collected), then an offset
+    a partition, joined by broadcast. No row leaves its partition. The input
+    must give the same partitions twice, as file scans and persisted frames do.
     """
     if ORDINAL in df.columns:
         return df
-    place = F.monotonically_increasing_id()
-    counts = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
-    offsets, total = {}, start
-    for r in sorted(counts, key=lambda r: r.p):
-        offsets[r.p], total = total, total + r["count"]
-    if not offsets:
-        return df.withColumn(ORDINAL, F.lit(0).cast("bigint"))
-    by_partition = F.array(*[F.lit(offsets.get(p, 0)).cast("bigint") for p in range(max(offsets) + 1)])
-    return df.withColumn(ORDINAL, F.get(by_partition, F.spark_partition_id()) + place.bitwiseAND(F.lit((1 << 33) - 1)))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.withColumns({"__part": F.spark_partition_id(), "__within": within})
+    offsets, total = [], start
+    for r in sorted(df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect(), key=lambda r: r.p):
+        offsets.append((r.p, total))
+        total += r["count"]
+    known = df.sparkSession.createDataFrame(offsets, "__known int, __offset bigint")
+    placed = rows.join(F.broadcast(known), F.col("__part") == F.col("__known"))
+    return placed.select(*[quoted(c) for c in df.columns], (F.col("__offset") + F.col("__within")).alias(ORDINAL))

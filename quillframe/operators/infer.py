@@ -111,32 +111,35 @@ def is_placeholder(text: Column) -> Column:
     return (F.trim(text) != "") & (bare.isin(*PLACEHOLDERS) | bare.startswith("invalid") | bare.rlike("^-*$"))
 
 
-def numeric_token(text: Column) -> dict[str, Column]:
-    """What a trimmed token is as a number: kind flags, digits and scale."""
-    wrapped = text.rlike(r"^\(.+\)$")
-    body = F.trim(F.when(wrapped, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text))
-    symbol = body.rlike("[$€£¥]")
-    bare = F.regexp_replace(body, "[$€£¥,_ ]", "")
-    shape = r"^([+-]?)([0-9]*)(\.?)([0-9]*)(?:([eE])([+-]?[0-9]{1,9}))?$"
-    part = lambda i: F.regexp_extract(bare, shape, i)
-    whole, point, fraction, e = part(2), part(3), part(4), part(5)
-    power = F.when(e != "", part(6).try_cast("int")).otherwise(F.lit(0))
-    digits = F.length(whole) + F.length(fraction)
-    plain_int = (point == "") & (e == "")
-    ok = bare.rlike(shape) & (digits > 0) & ~(wrapped & (part(1) != "")) & ~(plain_int & (F.length(whole) > 1) & whole.startswith("0"))
-    raw_scale = F.length(fraction) - power
-    scale = F.greatest(raw_scale, F.lit(0))
-    length = digits + F.greatest(-raw_scale, F.lit(0))
-    integer_digits = F.greatest(length - scale, F.lit(0))
-    precision = F.greatest(integer_digits + scale, F.lit(1))
-    over = (precision > MAX_PRECISION) | (scale > MAX_PRECISION)
-    decimal = ok & ~plain_int
-    integer = ok & plain_int & ~over
-    return {
-        "number": ok, "integer": integer, "decimal": decimal, "float": ok & over, "overflow": decimal & over,
-        "currency": (integer | decimal) & scale.isin(0, 2, 4), "symbol": ok & (symbol | wrapped),
-        "precision": F.when(decimal, precision), "scale": F.when(decimal, scale), "decimal_digits": F.when(decimal, integer_digits), "integer_digits": F.when(integer, integer_digits),
-    }
+SHAPE = r"^([+-]?)([0-9]*)(\.?)([0-9]*)(?:([eE])([+-]?[0-9]{1,9}))?$"
+
+
+def numeric_tokens(rows: DataFrame) -> DataFrame:
+    """What the trimmed token ``v`` is as a number: kind flags, digits and scale.
+
+    The steps are columns of their own, so that no pattern is matched twice.
+    """
+    c = F.col
+    rows = rows.withColumn("wrapped", c("v").rlike(r"^\(.+\)$"))
+    rows = rows.withColumn("body", F.trim(F.when(c("wrapped"), F.regexp_replace("v", r"^\(|\)$", "")).otherwise(c("v"))))
+    rows = rows.withColumns({"bare": F.regexp_replace("body", "[$€£¥,_ ]", ""), "signed": c("body").rlike("[$€£¥]")})
+    rows = rows.withColumns({"shaped": c("bare").rlike(SHAPE), **{f"p{i}": F.regexp_extract("bare", SHAPE, i) for i in range(1, 7)}})
+    digits = F.length("p2") + F.length("p4")
+    rows = rows.withColumns({"digits": digits, "plain": (c("p3") == "") & (c("p5") == ""), "raw_scale": F.length("p4") - F.when(c("p5") != "", c("p6").try_cast("int")).otherwise(F.lit(0))})
+    leading_zero = c("plain") & (F.length("p2") > 1) & c("p2").startswith("0")
+    rows = rows.withColumns({
+        "number": c("shaped") & (c("digits") > 0) & ~(c("wrapped") & (c("p1") != "")) & ~leading_zero,
+        "all_scale": F.greatest("raw_scale", F.lit(0)), "all_digits": c("digits") + F.greatest(-c("raw_scale"), F.lit(0)),
+    })
+    rows = rows.withColumn("whole_digits", F.greatest(c("all_digits") - c("all_scale"), F.lit(0)))
+    rows = rows.withColumn("all_precision", F.greatest(c("whole_digits") + c("all_scale"), F.lit(1)))
+    rows = rows.withColumn("over", (c("all_precision") > MAX_PRECISION) | (c("all_scale") > MAX_PRECISION))
+    rows = rows.withColumns({"decimal": c("number") & ~c("plain"), "integer": c("number") & c("plain") & ~c("over")})
+    return rows.withColumns({
+        "float": c("number") & c("over"), "overflow": c("decimal") & c("over"), "currency": (c("integer") | c("decimal")) & c("all_scale").isin(0, 2, 4),
+        "symbol": c("number") & (c("signed") | c("wrapped")), "precision": F.when(c("decimal"), c("all_precision")), "scale": F.when(c("decimal"), c("all_scale")),
+        "decimal_digits": F.when(c("decimal"), c("whole_digits")), "integer_digits": F.when(c("integer"), c("whole_digits")),
+    })
 
 
 COUNTED = ("filled", "boolean", "integer", "decimal", "float", "overflow", "currency", "symbol", "date", "datetime", "time", "guid", "other")
@@ -148,18 +151,15 @@ def votes(df: DataFrame) -> DataFrame:
     names = df.columns
     long = df.select(*[F.trim(F.coalesce(quoted(c).cast("string"), F.lit(""))).alias(f"c{i}") for i, c in enumerate(names)])
     long = long.select(F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("position", "v"))
-    v = F.when((F.col("v") != "") & ~is_placeholder(F.col("v")), F.col("v"))
-    long = long.select("position", v.alias("v"))
     v = F.col("v")
-    number = numeric_token(v)
-    boolean = F.lower(v).isin(*BOOLEAN_WORDS)
-    rest = v.isNotNull() & ~boolean & ~number["number"]
-    date = rest & parse_date(v).isNotNull()
-    stamp = rest & ~date & parse_datetime(v).isNotNull()
-    time = rest & ~date & ~stamp & parse_time(v).isNotNull()
-    guid = rest & ~date & ~stamp & ~time & parse_guid(v).isNotNull()
-    flags = {"filled": v.isNotNull(), "boolean": boolean, "date": date, "datetime": stamp, "time": time, "guid": guid, "other": rest & ~date & ~stamp & ~time & ~guid} | number
-    per_cell = long.select("position", *[F.coalesce(flags[n], F.lit(False)).alias(n) for n in COUNTED], *[number[n].alias(n) for n in LARGEST])
+    long = long.select("position", F.when((v != "") & ~is_placeholder(v), v).alias("v"))
+    cells = numeric_tokens(long).withColumns({"filled": v.isNotNull(), "boolean": F.lower(v).isin(*BOOLEAN_WORDS)})
+    rest = v.isNotNull() & ~F.col("boolean") & ~F.col("number")
+    for name, reader in (("date", parse_date), ("datetime", parse_datetime), ("time", parse_time), ("guid", parse_guid)):
+        cells = cells.withColumn("rest", rest).withColumn(name, F.when(F.col("rest"), reader(v).isNotNull()).otherwise(F.lit(False)))
+        rest = F.col("rest") & ~F.col(name)
+    cells = cells.withColumn("other", rest)
+    per_cell = cells.select("position", *[F.coalesce(n, F.lit(False)).alias(n) for n in COUNTED], *LARGEST)
     counts = [F.count_if(F.col(n)).alias(n) for n in COUNTED]
     return per_cell.groupBy("position").agg(F.count(F.lit(1)).alias("rows"), *counts, *[F.max(n).alias(n) for n in LARGEST])
 
