@@ -34,6 +34,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT = re.compile(r"(?ai:secret|token|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|bearer|authorization|signature)")
 HINTS = ("secret", "token", "passw", "passphrase", "pwd", "key", "credential", "bearer", "authorization", "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LEAST = 12
 REACH = 48
 IDENTIFIERS = (
     "import from return function class public private static final const let var def self this null None true false "
@@ -92,7 +93,8 @@ def novel_spans(text: str, model: NoveltyModel, base: list[tuple[str, int, int]]
     for hint in CONTEXT.finditer(text):
         limit = hint.end() + REACH
         at = max(hint.end(), done)
-        while at < limit and (m := CANDIDATE.search(text, at)) and m.start() < limit:
+        while at < limit and (near := CANDIDATE.search(text, at, limit + LEAST - 1)):
+            m = CANDIDATE.match(text, near.start())  # begins in reach, runs on as far as it does
             at = done = m.end()
             if any(a < m.end() and m.start() < b for _, a, b in base):
                 continue
