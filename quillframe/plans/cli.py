@@ -119,13 +119,13 @@ def _schema(path: str | None) -> Schema | None:
     return Schema.load(path) if path else None
 
 
-def _path(path: str, stdin=None) -> str:
-    return D.spool_stdin(stdin) if path == D.STDIN else path
+def _path(spark, path: str) -> str:
+    return D.spool_stdin(spark) if path == D.STDIN else path
 
 
 def _read(spark, path: str, sep: str | None, code: str | None, schema: Schema | None) -> DataFrame:
     header = True if path == D.STDIN and schema is None else None
-    return D.read_delimited(spark, _path(path), sep=sep, code=code, schema=schema, header=header)
+    return D.read_delimited(spark, _path(spark, path), sep=sep, code=code, schema=schema, header=header)
 
 
 def _emit(df: DataFrame, output: str | None, sep: str, code: str | None, as_table: bool = False) -> None:
@@ -170,7 +170,7 @@ def run_verify(spark, a) -> None:
 
 
 def run_infer(spark, a) -> None:
-    path, sep = _path(a.input), D.input_delimiter(a.input, a.delimiter)
+    path, sep = _path(spark, a.input), D.input_delimiter(a.input, a.delimiter)
     code = D.encoding(a.input_encoding)
     columns, header = D.layout(spark, path, sep, code, True if a.input == D.STDIN and a.assume_header is None else a.assume_header)
     rows = D.read_delimited(spark, path, sep=sep, code=code, header=header, columns=columns)
@@ -243,7 +243,7 @@ def run_append(spark, a) -> None:
     for path in a.input:
         if schema is None:
             sep, code = D.input_delimiter(path, a.delimiter), D.encoding(a.input_encoding)
-            local = _path(path)
+            local = _path(spark, path)
             columns, header = D.layout(spark, local, sep, code, True if path == D.STDIN else None)
             frames.append(D.read_delimited(spark, local, sep=sep, code=code, header=header, columns=columns))
         else:

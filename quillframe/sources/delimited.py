@@ -9,6 +9,7 @@ import os
 import shutil
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,12 +52,23 @@ def encoding(label: str | None) -> str:
         raise UserError(f"unknown encoding {label!r}") from e
 
 
-def spool_stdin(stream=None) -> str:
-    """Standard input as a temporary file, so that it can be split and read more than once."""
-    source = stream or sys.stdin.buffer
+def spool_stdin(spark: SparkSession, stream=None) -> str:
+    """Standard input as a file that can be split and read more than once.
+
+    On a cluster the file goes to the folder that ``spark.checkpoint.dir``
+    names, which all executors see; without that setting it stays local.
+    """
     with tempfile.NamedTemporaryFile("wb", suffix=".csv", delete=False) as out:
-        shutil.copyfileobj(source, out)
-    return out.name
+        shutil.copyfileobj(stream or sys.stdin.buffer, out)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return out.name
+    jvm = spark.sparkContext._jvm
+    target = f"{shared.rstrip('/')}/stdin-{uuid.uuid4().hex}.csv"
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{out.name}"), path)
+    return target
 
 
 def head_rows(spark: SparkSession, path: str, sep: str, code: str = "utf-8", rows: int = LAYOUT_ROWS) -> list[list[str]]:

@@ -88,7 +88,7 @@ def test_sources(spark, tmp_path, monkeypatch):
     with pytest.raises(UserError):
         D.delimiter("ab")
     assert D.delimiter("pipe") == "|" and D.output_delimiter("x.tsv", None, ",") == "\t" and D.output_delimiter(None, None, ";") == ";"
-    assert open(D.spool_stdin(io.BytesIO(b"a\n1\n"))).read() == "a\n1\n"
+    assert open(D.spool_stdin(spark, io.BytesIO(b"a\n1\n"))).read() == "a\n1\n"
     assert normalize_argv(["--report-invalid:detail:5"]) == ["--report-invalid", "detail", "5"]
 
 
