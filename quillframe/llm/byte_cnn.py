@@ -22,9 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from quillframe.llm.common import held_out, labelled_sample, small_batches, table
+from quillframe.llm.common import held_out, labelled_sample, map_frames, small_batches, table
 
 WIDTH, FILTERS, CHUNK = 10, 24, 256
 BLOCK = 16 * CHUNK
@@ -148,7 +148,7 @@ def score_quality(docs: DataFrame, net: ByteCnn, text_col: str = "text", score_c
             frame[score_col] = [model.score(t) if isinstance(t, str) else model.score("") for t in frame[text_col]]
             yield frame
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return map_frames(docs, run, [StructField(score_col, DoubleType())])
 
 
 def op7_quality(spark, sf_dir):

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MASK64 = (1 << 64) - 1
@@ -51,6 +52,20 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def map_frames(df: DataFrame, run, added: list[StructField]) -> DataFrame:
+    """``mapInPandas`` that adds columns to ``df``.
+
+    Integer columns travel as text: pandas would turn those with nulls into
+    floats and lose digits of large ids.
+    """
+    whole = (ByteType, ShortType, IntegerType, LongType)
+    name = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    fields = df.schema.fields
+    sent = df.select(*[name(f).cast("string").alias(f.name) if isinstance(f.dataType, whole) else name(f) for f in fields])
+    out = sent.mapInPandas(run, StructType([*sent.schema.fields, *added]))
+    return out.select(*[name(f).cast(f.dataType).alias(f.name) for f in fields], *[name(f) for f in added])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.
 

@@ -28,9 +28,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField
 
-from quillframe.llm.common import small_batches, splitmix, table
+from quillframe.llm.common import map_frames, small_batches, splitmix, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET = 20.0
@@ -248,7 +248,7 @@ def encode(
         v = shipped.value
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame[text_col]]
-            keys = np.array([xxhash.xxh3_64_intdigest("" if pd.isna(k) else str(int(k)) if isinstance(k, (float, np.floating)) else str(k), seed) for k in frame[key_col]], np.uint64)
+            keys = np.array([xxhash.xxh3_64_intdigest("" if pd.isna(k) else str(k), seed) for k in frame[key_col]], np.uint64)
             for a, b in _groups(texts):
                 part = frame.iloc[a:b].copy()
                 part[ids_col] = found = sample_batch(texts[a:b], keys[a:b], v, alpha)
@@ -257,7 +257,7 @@ def encode(
                 yield part
 
     extra = [StructField(ids_col, ArrayType(IntegerType()))] + ([StructField(lossless_col, BooleanType())] if lossless_col else [])
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, *extra]))
+    return map_frames(docs, run, extra)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -272,7 +272,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", m
             frame[out_col] = ["" if i is None else decode_ids(i, v) for i in frame[ids_col]]
             yield frame
 
-    return encoded.mapInPandas(run, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))
+    return map_frames(encoded, run, [StructField(out_col, StringType())])
 
 
 def encode_checked(docs: DataFrame, **how) -> DataFrame:

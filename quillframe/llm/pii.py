@@ -269,7 +269,8 @@ def scan_pii(docs: DataFrame, model: SkipChain) -> DataFrame:
             got.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield got
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
+    id_text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would make floats of ids with nulls
+    return id_text.mapInPandas(run, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_pii(spark, sf_dir):

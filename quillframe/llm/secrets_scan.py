@@ -144,7 +144,8 @@ def scan_secrets(docs: DataFrame, model: NoveltyModel) -> DataFrame:
             got.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield got
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    id_text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would make floats of ids with nulls
+    return id_text.mapInPandas(run, "doc_id string, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op8_secrets(spark, sf_dir):

@@ -28,9 +28,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from quillframe.llm.common import held_out, labelled_sample, small_batches, table
+from quillframe.llm.common import held_out, labelled_sample, map_frames, small_batches, table
 
 WINDOW, STEP, LEVEL = 64, 40, 9
 CUTS = (1, 2, 3, 4, 5, 6, 8)
@@ -197,7 +197,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             frame[score_col] = [found.score(t if isinstance(t, str) else "") for t in frame[text_col]]
             yield frame
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return map_frames(docs, run, [StructField(score_col, DoubleType())])
 
 
 def op1_toxicity(spark, sf_dir):

@@ -53,6 +53,17 @@ def test_exact_dedup_odd(odd, none):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 9, 10, 11] and kept.columns == odd.columns
 
 
+def test_large_ids_survive_beside_nulls(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "some text", 2**61 + 3), (None, "other text", None)], "doc_id long, text string, n_chars long").coalesce(1)
+    net = byte_cnn.train([], 0.5)
+    assert {(r.doc_id, r.n_chars) for r in byte_cnn.score_quality(docs, net).collect()} == {(big, 2**61 + 3), (None, None)}
+    assert {r.doc_id for r in pieces.encode_checked(docs).collect()} == {big, None}
+    assert {r.doc_id for r in pii.scan_pii(docs, pii.train([])).collect()} == {big, None}
+    assert {r.doc_id for r in secrets_scan.scan_secrets(docs, secrets_scan.NoveltyModel(b"x")).collect()} == {big, None}
+    assert {r.doc_id for r in near_dedup.near_dedup(docs).collect()} == {big, None}
+
+
 def shingles(text, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
