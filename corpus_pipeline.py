@@ -12,10 +12,11 @@ from quillframe.llm.byte_cnn import fit_quality, score_quality
 from quillframe.llm.common import materialise, table
 from quillframe.llm.exact_dedup import exact_dedup, keep_one
 from quillframe.llm.mixing import mix_sources, take_copies
-from quillframe.llm.near_dedup import near_dedup
+from quillframe.llm.near_dedup import Plan, near_dedup
 from quillframe.llm.pieces import encode_checked
 
 LEAST_QUALITY = 0.3
+NEAR = Plan(percent=80)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, the document with the smallest doc_id."""
-    return keep_one(docs, near_dedup(docs.select("doc_id", "text")))
+    """Of each near-duplicate component (similarity of ``NEAR``, 0.80), the document with the smallest doc_id."""
+    return keep_one(docs, near_dedup(docs.select("doc_id", "text"), NEAR))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

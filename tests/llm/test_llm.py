@@ -330,3 +330,21 @@ def test_pipeline_stages(spark, odd):
         assert stage(spark, odd.where("false"), SF).count() == 0
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and all(r.lossless for r in out)
+
+
+def test_pipeline_near_stage_links_at_80(spark):
+    """Copies with changed words, many of similarity 0.80 to 0.85."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for changed in (0, 3, 4, 5):
+            t = list(base)
+            for k in range(changed):
+                t[20 + 35 * k] = f"u{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    docs = docs_of(spark, texts)
+    sets = {i + 1: shingles(t) for i, t in enumerate(texts)}
+    want = set(brute_components(sets, 80).values())
+    assert want < set(brute_components(sets, 85).values())
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == want
