@@ -2,12 +2,15 @@
 
 A candidate is a run of token characters close after a word that announces
 secrets. Its novelty is the marginal compressed length: the bytes that
-zstandard needs for (surrounding text + candidate) less those for the
-surrounding text alone, with a dictionary of the corpus' own words and of code
-identifiers. Identifiers, words and repeats cost a fraction of a byte a
-character; keys cost about as many bytes as they have characters. Candidates
-at or above ``threshold`` bytes a character are reported as ``novel`` spans,
-beside the spans of the fixed patterns, which always stay.
+zstandard needs for (surrounding text + candidate + tail) less those for
+(surrounding text + tail), with a dictionary of the corpus' own words and of
+code identifiers. The fixed tail stands in the dictionary: without it the end
+of the surrounding text would be dearer alone than before a candidate.
+Identifiers, words and repeats cost a fraction of a byte a character; keys
+cost about as many bytes as they have characters. Candidates at or above
+``least`` bytes a character are reported as ``novel`` spans, beside the spans
+of the fixed patterns, which always stay. ``least`` is ``threshold`` scaled by
+the alphabet, and higher for candidates that are built like words.
 """
 
 from __future__ import annotations
@@ -36,6 +39,11 @@ HINTS = ("secret", "token", "passw", "passphrase", "pwd", "key", "credential", "
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 LEAST = 12
 REACH = 48
+TAIL = b" implementation configuration"  # of IDENTIFIERS
+RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+BITS = ((re.compile(r"[0-9A-F]+|[0-9a-f]+"), 4), (re.compile(r"[A-Z2-7=]+|[a-z2-7=]+"), 5))  # any other alphabet: 6
+WORD_RUN = 4
+WORD, WORDS = 1.05, 1.15
 IDENTIFIERS = (
     "import from return function class public private static final const let var def self this null None true false "
     "string integer boolean config settings environment variable username user password secret token api_key access_key "
@@ -69,7 +77,14 @@ class NoveltyModel:
 
     def novelty(self, before: str, candidate: str) -> float:
         head = before.encode("utf-8", "replace")
-        return (self.cost(head + candidate.encode()) - self.cost(head)) / len(candidate)
+        return (self.cost(head + candidate.encode() + TAIL) - self.cost(head + TAIL)) / len(candidate)
+
+    def least(self, candidate: str) -> float:
+        """The novelty that ``candidate`` needs: unknown words of one or several parts cost about a byte a letter too."""
+        runs = RUN.findall(candidate)
+        if len(candidate) >= WORD_RUN * len(runs) and sum(r.isdigit() for r in runs) <= 1 and not candidate.isdigit():
+            return WORD if len(runs) == 1 else WORDS
+        return self.threshold * next((bits for p, bits in BITS if p.fullmatch(candidate)), 6) / 6
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -98,7 +113,7 @@ def novel_spans(text: str, model: NoveltyModel, base: list[tuple[str, int, int]]
             at = done = m.end()
             if any(a < m.end() and m.start() < b for _, a, b in base):
                 continue
-            if model.novelty(text[max(0, m.start() - 200) : m.start()], m[0]) >= model.threshold:
+            if model.novelty(text[max(0, m.start() - 200) : m.start()], m[0]) >= model.least(m[0]):
                 found.append(("novel", m.start(), m.end()))
     return found
 

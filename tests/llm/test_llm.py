@@ -348,3 +348,19 @@ def test_pipeline_near_stage_links_at_80(spark):
     want = set(brute_components(sets, 80).values())
     assert want < set(brute_components(sets, 85).values())
     assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == want
+
+
+def test_secrets_short_keys_behind_text(spark):
+    """Random keys of 16 to 64 characters behind 200 characters of the corpus' text; plain words stay out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets_scan.fit_novelty(docs)
+    rng = random.Random(7)
+    texts = sorted(r.text for r in docs.where("length(text) > 600").collect())
+    words = sorted({w for t in texts for w in re.findall("[a-z]{12,}", t)})
+    heads = [t[300:500] + " access token " for t in texts]
+    found = lambda x: bool(secrets_scan.novel_spans((h := rng.choice(heads)) + x, model, []) and secrets_scan.novel_spans(h + x, model, [])[-1][2] == len(h + x))
+    b32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    for letters in (b32 + b32[:26].lower() + "0189+/", b32, "0123456789ABCDEF"):
+        for n in (16, 24, 32, 48, 64):
+            assert sum(found("".join(rng.choice(letters) for _ in range(n))) for _ in range(100)) >= 90, (letters, n)
+    assert sum(found(rng.choice(words)) for _ in range(300)) <= 9
