@@ -3,11 +3,12 @@
 Tokens that hold a digit or an at sign are the nodes of a document's graph;
 their labels are the four kinds or none. A token that a base pattern covers is
 observed with that kind. Neighbouring tokens share chain potentials, and each
-token shares a skip potential with the previous token of the same digits or
-the same letters, wherever that is (a chain per value, so links grow with the
-tokens). Sum-product loopy message passing then labels the rest, which carries
-a label from one mention to all its repeats; tokens whose kind is the likeliest
-and above ``least`` become added spans. Base spans always stay.
+token shares a skip potential with hubs of its value, the tokens of the same
+digits or the same letters, wherever they are: the first observed mention of
+each kind, or else the first mention (at most four links a token and value).
+Observed evidence reaches every repeat in one hop. Sum-product loopy message
+passing, until the messages rest, then labels the rest; tokens whose kind is
+the likeliest and above ``least`` become added spans. Base spans always stay.
 
 Potentials are learned by pseudo-likelihood from a bounded sample of documents,
 with the base patterns as the labels.
@@ -106,7 +107,7 @@ def _features(token: str, digits: str, gap: int) -> list[float]:
 def graph_of(text: str, base: list[tuple[str, int, int]]) -> Graph | None:
     if not CUE.search(text):
         return None
-    spans, rows, observed, chain, skip, last = [], [], [], [], [], {}
+    spans, rows, observed, chain, values = [], [], [], [], {}
     todo = list(base)
     for m in TOKEN.finditer(text):
         if not CUE.search(m[0]):
@@ -126,9 +127,7 @@ def graph_of(text: str, base: list[tuple[str, int, int]]) -> Graph | None:
             chain.append((i - 1, i))
         for key in {digits if len(digits) >= 4 else "", token.lower()}:
             if len(key) >= 4:
-                if key in last and last[key] != i:
-                    skip.append((last[key], i))
-                last[key] = i
+                values.setdefault(key, []).append(i)
         while todo and todo[0][2] <= a:
             todo.pop(0)
         label = next((KINDS.index(k) + 1 for k, s, e in todo if s < b and a < e), -1)
@@ -137,6 +136,15 @@ def graph_of(text: str, base: list[tuple[str, int, int]]) -> Graph | None:
         observed.append(label)
     if not spans:
         return None
+    skip = set()
+    for same in values.values():
+        hubs = {}
+        for i in same:
+            if observed[i] >= 0:
+                hubs.setdefault(observed[i], i)
+        hubs = list(hubs.values()) or same[:1]
+        skip |= {(min(h, i), max(h, i)) for h in hubs for i in same if i != h}
+    skip = sorted(skip)
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Graph(spans, np.array(rows, np.float64), np.array(observed), pairs(chain), pairs(skip))
 
@@ -157,13 +165,14 @@ class SkipChain:
     chain: np.ndarray
     skip: np.ndarray
     least: float = 0.6
-    rounds: int = 10
+    rest: float = 1e-4
 
     def marginals(self, g: Graph) -> np.ndarray:
         """(tokens, labels) beliefs after damped sum-product message passing over all links."""
         score = g.features @ self.unary
         local = np.exp(np.clip(score - score.max(axis=1, keepdims=True), -30, 0))
         seen = g.observed >= 0
+        known = np.eye(LABELS)[g.observed[seen]]
         local[seen] = 1e-9
         local[np.nonzero(seen)[0], g.observed[seen]] = 1.0
         local /= local.sum(axis=1, keepdims=True)
@@ -176,20 +185,25 @@ class SkipChain:
         a, b = links[:, 0], links[:, 1]
         right = np.full((len(links), LABELS), 1.0 / LABELS)  # a to b
         left = right.copy()  # b to a
-        for _ in range(self.rounds):
+        for _ in range(2 * size + 20):  # no path is longer than the tokens; a damped message goes half its way a round
             belief = np.log(local)
             for l in range(LABELS):
                 belief[:, l] += np.bincount(b, np.log(right[:, l]), size) + np.bincount(a, np.log(left[:, l]), size)
             belief = np.exp(np.clip(belief - belief.max(axis=1, keepdims=True), -60, 0))
+            belief[seen] = known  # however many repeats speak against it
             out_a, out_b = belief[a] / left, belief[b] / right
             new_right = np.einsum("el,elm->em", out_a, kernel[kind])
             new_left = np.einsum("em,elm->el", out_b, kernel[kind])
+            old_right, old_left = right, left
             right = 0.5 * right + 0.5 * np.maximum(new_right / new_right.sum(axis=1, keepdims=True), 1e-9)
             left = 0.5 * left + 0.5 * np.maximum(new_left / new_left.sum(axis=1, keepdims=True), 1e-9)
+            if max(np.abs(right - old_right).max(), np.abs(left - old_left).max()) < self.rest:
+                break
         belief = np.log(local)
         for l in range(LABELS):
             belief[:, l] += np.bincount(b, np.log(right[:, l]), size) + np.bincount(a, np.log(left[:, l]), size)
         belief = np.exp(belief - belief.max(axis=1, keepdims=True))
+        belief[seen] = known
         return belief / belief.sum(axis=1, keepdims=True)
 
     def added(self, graphs: list[Graph]) -> list[list[tuple[str, int, int]]]:

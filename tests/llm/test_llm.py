@@ -364,3 +364,15 @@ def test_secrets_short_keys_behind_text(spark):
         for n in (16, 24, 32, 48, 64):
             assert sum(found("".join(rng.choice(letters) for _ in range(n))) for _ in range(100)) >= 90, (letters, n)
     assert sum(found(rng.choice(words)) for _ in range(300)) <= 9
+
+
+def test_pii_label_reaches_fifty_repeats():
+    """One whole phone number, before or after 50 bare mentions that by themselves are none."""
+    unary = np.zeros((len(pii._features("1", "1", 0)), pii.LABELS))
+    unary[0, 0] = 1.0
+    model = pii.SkipChain(unary, np.zeros((pii.LABELS, pii.LABELS)), np.eye(pii.LABELS) * 4.0)
+    bare = " ".join("then 555-3138 and some words" for _ in range(50))
+    for text in (f"ring +1 (706) 555-3138 now {bare}", f"{bare} ring +1 (706) 555-3138 now"):
+        base = pii.base_spans(text)
+        want = [("phone", m.start(), m.end()) for m in re.finditer("555-3138", text) if not any(a <= m.start() < b for _, a, b in base)]
+        assert len(want) == 50 and model.added([pii.graph_of(text, base)]) == [want]
