@@ -15,16 +15,14 @@ reads whole texts of any length in blocks of bounded memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from quillframe.llm.common import held_out, labelled_sample, map_frames, small_batches, table
+from quillframe.llm.common import extend, held_out, label_share, labelled_sample, table
 
 WIDTH, FILTERS, CHUNK = 10, 24, 256
 BLOCK = 16 * CHUNK
@@ -131,28 +129,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 800, max_ch
     The prior comes from all training labels. Without labels of both classes
     every text scores the prior (0.5 without any label).
     """
-    seen = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("quality").alias("prior")).first()
-    return train(labelled_sample(docs, labels, "quality", per_class, max_chars), 0.5 if seen.prior is None else seen.prior)
+    return train(labelled_sample(docs, labels, "quality", per_class, max_chars), label_share(labels, "quality"))
 
 
 def score_quality(docs: DataFrame, net: ByteCnn, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a ``score`` column (replaced if it exists); null text scores as empty."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop(score_col)
-    shipped = spark.sparkContext.broadcast(net)  # a fixed number of weights
+    """``docs`` with a ``score`` column (replaced if it exists).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null text scores as empty. Repeated rows score alike, an empty table gives
+    an empty result, a text of any length is read whole in blocks, and all
+    other columns pass unchanged.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
+
+    def make():
         model = shipped.value
-        for frame in frames:
-            frame[score_col] = [model.score(t) if isinstance(t, str) else model.score("") for t in frame[text_col]]
-            yield frame
+        return lambda texts: ([float(model.score(t or "")) for t in texts],)
 
-    return map_frames(docs, run, [StructField(score_col, DoubleType())])
+    return extend(docs.drop(score_col), [text_col], [StructField(score_col, DoubleType())], make)
 
 
 def op7_quality(spark, sf_dir):
-    """Per document: doc_id, held_out, score, predicted (score >= 0.3)."""
+    """Per row of ``documents``: doc_id, held_out, score, predicted (score >= 0.3).
+
+    A null doc_id is never held out; nulls, repeats, long and empty texts are
+    treated as ``score_quality`` says.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = score_quality(docs, net).drop("text")
