@@ -1,18 +1,20 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every input partition turns its rows into a run of (digest, smallest
-identifier, count), one entry per digest. Runs are numbered, and in each round
-``fan_in`` neighbouring runs (those that share ``run // fan_in``) are exchanged
-and merged by digest; an entry that merges keeps the smallest identifier and
-the sum of the counts. After ceil(log_fan_in(runs)) rounds one run per digest
-range is left. Spark's sorted shuffle and aggregation are the multiway merge,
-so a hot digest never meets in one task with more than ``fan_in`` entries.
-
-The rule "largest doc_id stays" is the smallest identifier under descending
-order, so the operator merges the negated rank by ``max``; ``keep`` chooses.
-Entries are verified: the key is the SHA-256 digest and the text's length in
-bytes and an independent 64-bit hash, so that two texts that shared a SHA-256
-value still would not merge.
+Every input partition sorts its rows by digest and keeps one entry a digest
+(smallest identifier, count): a run. Runs are numbered, and in each round
+``fan_in`` neighbouring runs (those that share ``run // fan_in``) exchange their
+entries, sort them together by (run, digest) and merge equal digests in one
+pass over the sorted entries, keeping the smallest identifier and the sum of the
+counts. Every round's runs are written, sorted, before the next starts. After
+ceil(log_fan_in(runs)) rounds one run is left, spread over tasks by digest. A
+hot digest is one entry a run from the start, so no task meets more than
+``fan_in`` entries of it.
+
+Identifiers are (doc_id, row key) pairs. The rule "largest doc_id stays" is the
+smallest identifier under descending order; ``keep`` chooses. Entries are
+verified: the key is the SHA-256 digest, the text's length in bytes and an
+independent 64-bit hash, so that two texts that shared a SHA-256 value still
+would not merge.
 """
 
 from __future__ import annotations
@@ -22,33 +24,49 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import ascii_lower, materialise, table
+from quillframe.llm.common import ascii_lower, discard, keep_rows, materialise, row_key, spread_join, table
 
 KEY = ("digest", "bytes", "check")
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, bytes, check, run) of every row; null text counts as empty."""
-    low = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    """(doc_id, digest, bytes, check, k1, k2, run) of every row; null text counts as empty."""
+    k1, k2 = row_key(F.col(id_col), F.col(text_col))
+    low = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"), k1.alias("k1"), k2.alias("k2"))
     return low.select(
         "doc_id",
         F.unhex(F.sha2(F.col("low").cast("binary"), 256)).alias("digest"),
         F.octet_length("low").alias("bytes"),
         F.xxhash64("low").alias("check"),
+        "k1", "k2",
         F.spark_partition_id().alias("run"),
-    )
+    )
 
 
-def merge_runs(rows: DataFrame, runs: int, keep: str = "largest", fan_in: int = 8) -> DataFrame:
-    """Merge the runs of ``rows`` in rounds to one entry (key, keep_id, group_size) a digest."""
-    best = F.max if keep == "largest" else F.min
-    merged = rows.groupBy(*KEY, "run").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    for _ in range(max(1, math.ceil(math.log(max(runs, 2), fan_in)))):
-        merged = (
-            merged.groupBy(*KEY, F.floor(F.col("run") / fan_in).alias("run"))
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    return merged.drop("run")
+def merge_runs(rows: DataFrame, keep: str = "largest", fan_in: int = 8) -> DataFrame:
+    """Merge the runs of ``rows`` to one entry (key, best, group_size) a digest.
+
+    ``best`` is (rank, doc_id, k1, k2) of the row that stays; a row without an
+    id comes last. Its aggregate works on sorted entries: Spark sorts each run
+    by digest and merges equal neighbours.
+    """
+    known = F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull()
+    pick = F.max if keep == "largest" else F.min
+    runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    entries = rows.select("run", *KEY, F.struct(known.alias("rank"), "doc_id", "k1", "k2").alias("best"), F.lit(1).cast("long").alias("group_size"))
+    merge = lambda e: e.groupBy("run", *KEY).agg(pick("best").alias("best"), F.sum("group_size").alias("group_size")).sortWithinPartitions("run", *KEY)
+    level = materialise(merge(entries), "runs")
+    for _ in range(math.ceil(math.log(runs, fan_in) - 1e-9)):
+        after = materialise(merge(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))), "runs")
+        discard(level)
+        level = after
+    return level.drop("run")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int) -> tuple[DataFrame, DataFrame]:
+    """The digests of all rows and the merged entries, as tables."""
+    rows = materialise(digest_rows(docs, id_col, text_col), "digests")
+    return rows, merge_runs(rows, keep, fan_in)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8) -> DataFrame:
@@ -58,39 +76,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts as empty, so null and empty texts form one group. A repeated row
     (same id, same text) counts in ``group_size`` each time and is kept
     wherever its id is the group's; a null id is kept only in a group without
-    any id. An empty table gives an empty result. Other columns are ignored.
+    any id. An empty table gives an empty result. Texts of any length are
+    digested whole. Other columns are ignored, whatever their names.
     """
-    rows = materialise(digest_rows(docs, id_col, text_col), "digests")
-    runs = rows.agg(F.max("run")).first()[0]
-    groups = merge_runs(rows, (runs or 0) + 1, keep, fan_in)
-    several = groups.where("group_size > 1").withColumnsRenamed({k: f"g_{k}" for k in KEY})
-    match = [F.col(k) == F.col(f"g_{k}") for k in KEY]
-    return rows.join(several, match, "left").select(
+    rows, groups = grouped(docs, id_col, text_col, keep, fan_in)
+    several = groups.where("group_size > 1").select(*KEY, F.col("best.doc_id").alias("keep_id"), "group_size")
+    joined = spread_join(rows, several, KEY, several.withColumnRenamed("group_size", "n"), rows.count(), ["k1", "doc_id", "run"], "left")
+    alone = F.col("group_size").isNull()
+    return joined.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.when(alone, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def keep_one(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``decisions`` (doc_id, kept) keeps, one per kept id.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8) -> DataFrame:
+    """``docs`` with one row of each group of equal texts: the one whose id ``exact_dedup`` keeps.
 
-    Rows without an id cannot be told apart and are not kept. Only rows whose
-    id occurs more than once are compared, so texts move once, in the join. The
-    join is a shuffled hash join on the ids at every size: neither are the ids
-    broadcast while they are few, nor are the texts sorted.
+    Rows are told apart by id and text together. So rows that share an id but
+    not a text stay, of rows that repeat both one stays, and of a group without
+    any id one stays. All columns pass unchanged.
     """
-    ids = materialise(decisions.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    once = docs.join(ids.where("n = 1").hint("shuffle_hash"), "doc_id", "left_semi")
-    if ids.where("n > 1").isEmpty():
-        return once
-    again = docs.join(ids.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    rows, groups = grouped(docs, id_col, text_col, keep, fan_in)
+    return keep_rows(docs, groups.select("best.k1", "best.k2"), rows, [id_col, text_col])
 
 
 def op10_exact_dedup(spark, sf_dir):
+    """Per row of ``documents``: doc_id, keep_id, group_size, kept, text_sha256; see ``exact_dedup``."""
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
