@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise
+from quillframe.llm.common import discard, materialise, spread_join
 
 
 def _state(edges: DataFrame):
@@ -13,18 +13,19 @@ def _state(edges: DataFrame):
     return row[0], row[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it sees."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = spread_join(both, least.drop("n"), ["u"], least.drop("m"), 2 * total, ["v"])
+    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = spread_join(down, least.drop("n"), ["u"], least.drop("m"), total, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -32,16 +33,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v): the smallest node reachable.
 
     Null ends and self links are dropped; no links give an empty result. Every
-    round is written as a table, so lineage stays short; minima are aggregated
-    before the shuffle and joined back, so that a hub is never one task's list.
+    star is written as a table, so lineage stays short, and the one before it is
+    deleted. Minima are aggregated before the shuffle and joined back, hubs in
+    parts, so that a hub is never one task's list.
     """
     edges = materialise(links.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), "edges")
     state = _state(edges)
     for _ in range(most_rounds):
         if not state[0]:
             break
-        edges = materialise(_small_star(_large_star(edges)), "stars")
-        after = _state(edges)
+        large = materialise(_large_star(edges, state[0]), "stars")
+        small = materialise(_small_star(large, state[0]), "stars")
+        discard(edges, large)
+        edges, after = small, _state(small)
         if after == state:
             break
         state = after
