@@ -10,22 +10,22 @@ Observed evidence reaches every repeat in one hop. Sum-product loopy message
 passing, until the messages rest, then labels the rest; tokens whose kind is
 the likeliest and above ``least`` become added spans. Base spans always stay.
 
-Potentials are learned by pseudo-likelihood from a bounded sample of documents,
-with the base patterns as the labels.
+Potentials are learned by pseudo-likelihood from a bounded sample of crops, at
+hashed offsets, with the base patterns as the labels.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from quillframe.llm.common import small_batches, table
+from quillframe.llm.common import extend, sampled_crops, table
 from quillframe.llm.spans import digest, joined, ordered
 
 KINDS = ("email", "ip", "card", "phone")
@@ -108,7 +108,8 @@ def graph_of(text: str, base: list[tuple[str, int, int]]) -> Graph | None:
     if not CUE.search(text):
         return None
     spans, rows, observed, chain, values = [], [], [], [], {}
-    todo = list(base)
+    reach = list(itertools.accumulate((e for _, _, e in base), max))
+    at = 0  # base spans before this one end before the token
     for m in TOKEN.finditer(text):
         if not CUE.search(m[0]):
             continue
@@ -128,9 +129,13 @@ def graph_of(text: str, base: list[tuple[str, int, int]]) -> Graph | None:
         for key in {digits if len(digits) >= 4 else "", token.lower()}:
             if len(key) >= 4:
                 values.setdefault(key, []).append(i)
-        while todo and todo[0][2] <= a:
-            todo.pop(0)
-        label = next((KINDS.index(k) + 1 for k, s, e in todo if s < b and a < e), -1)
+        while at < len(base) and reach[at] <= a:
+            at += 1
+        label, k = -1, at
+        while label < 0 and k < len(base) and base[k][1] < b:
+            if a < base[k][2]:
+                label = KINDS.index(base[k][0]) + 1
+            k += 1
         spans.append((a, b))
         rows.append(_features(token, digits, gap))
         observed.append(label)
@@ -250,43 +255,48 @@ def train(texts: list[str], steps: int = 150, rate: float = 0.5) -> SkipChain:
 
 
 def fit_pii(docs: DataFrame, sample_rows: int = 1200, crop: int = 6000) -> SkipChain:
-    """Learn from at most ``sample_rows`` crops of documents that hold a digit or an at sign."""
-    ids = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", F.substring("text", 1, crop).alias("text")).collect()
-    return train([r.text or "" for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))])
+    """Learn from crops of at most ``sample_rows`` documents that hold a digit or an at sign.
+
+    The documents are those with the smallest hashed ids; of a longer text one
+    crop of ``crop`` characters at a hashed offset is learned from. Rows without
+    an id are not learned from.
+    """
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = sampled_crops(docs, ids, crop).collect()
+    return train([r.text for r in sorted(rows, key=lambda r: r.doc_id)])
 
 
 def scan_pii(docs: DataFrame, model: SkipChain) -> DataFrame:
     """One row per input row: doc_id, counts of base spans, the base digest and all spans.
 
     Null text counts as empty; texts without findings have counts 0 and empty
-    ``spans``. Repeated rows repeat; an empty table gives an empty result;
-    other columns are ignored.
+    ``spans``. Repeated rows repeat; an empty table gives an empty result; a
+    text of any length is read whole; other columns are ignored, whatever their
+    names.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shipped = spark.sparkContext.broadcast(model)  # a fixed number of weights
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         field = shipped.value
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+
+        def run(texts):
+            texts = [t or "" for t in texts]
             base = [base_spans(t) for t in texts]
             graphs = [graph_of(t, b) for t, b in zip(texts, base)]
             added = iter(field.added([g for g in graphs if g]))
             rows = []
             for b, g in zip(base, graphs):
                 every = ordered(b + (next(added) if g else []), KINDS)
-                n = {k: sum(s[0] == k for s in b) for k in KINDS}
-                rows.append((*n.values(), len(every) - len(b), digest(b), joined(every)))
-            got = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "n_added", "base_sha256", "spans"])
-            got.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield got
+                rows.append((*(sum(s[0] == k for s in b) for k in KINDS), len(every) - len(b), digest(b), joined(every)))
+            return list(zip(*rows))
+
+        return run
 
-    id_text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would make floats of ids with nulls
-    return id_text.mapInPandas(run, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    added = [*(StructField(f"n_{k}", LongType()) for k in (*KINDS, "added")), StructField("base_sha256", StringType()), StructField("spans", StringType())]
+    return extend(docs.select("doc_id", "text"), ["text"], added, make).drop("text")
 
 
 def op3_pii(spark, sf_dir):
+    """Per row of ``documents``: doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans; see ``scan_pii``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_pii(docs, fit_pii(docs))

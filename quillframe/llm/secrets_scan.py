@@ -2,10 +2,12 @@
 
 A candidate is a run of token characters close after a word that announces
 secrets. Its novelty is the marginal compressed length: the bytes that
-zstandard needs for (surrounding text + candidate + tail) less those for
-(surrounding text + tail), with a dictionary of the corpus' own words and of
-code identifiers. The fixed tail stands in the dictionary: without it the end
-of the surrounding text would be dearer alone than before a candidate.
+zstandard needs for (text before + candidate + tail + text after) less those
+for (text before + tail + text after), with a dictionary of the corpus' most
+frequent words, counted over all documents, and of code identifiers. Other
+mentions of the candidate are cut from the text around it. The fixed tail
+stands in the dictionary: without it the text around would be dearer alone
+than beside a candidate.
 Identifiers, words and repeats cost a fraction of a byte a character; keys
 cost about as many bytes as they have characters. Candidates at or above
 ``least`` bytes a character are reported as ``novel`` spans, beside the spans
@@ -16,16 +18,16 @@ the alphabet, and higher for candidates that are built like words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from quillframe.llm.common import small_batches, table
-from quillframe.llm.spans import digest, joined, ordered
+from quillframe.llm.common import extend, table
+from quillframe.llm.spans import digest, joined, merged, ordered
 
 KINDS = ("assign", "access", "hex", "novel")
 # The base patterns.
@@ -39,6 +41,7 @@ HINTS = ("secret", "token", "passw", "passphrase", "pwd", "key", "credential", "
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 LEAST = 12
 REACH = 48
+BEFORE, AFTER = 200, 100  # characters around a candidate
 TAIL = b" implementation configuration"  # of IDENTIFIERS
 RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 BITS = ((re.compile(r"[0-9A-F]+|[0-9a-f]+"), 4), (re.compile(r"[A-Z2-7=]+|[a-z2-7=]+"), 5))  # any other alphabet: 6
@@ -75,9 +78,10 @@ class NoveltyModel:
             self._coder = zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         return len(self._coder.compress(data))
 
-    def novelty(self, before: str, candidate: str) -> float:
-        head = before.encode("utf-8", "replace")
-        return (self.cost(head + candidate.encode() + TAIL) - self.cost(head + TAIL)) / len(candidate)
+    def novelty(self, before: str, candidate: str, after: str = "") -> float:
+        """Marginal bytes a character of ``candidate`` between the texts around it."""
+        head, rest = (t.replace(candidate, "").encode("utf-8", "replace") for t in (before, after))
+        return (self.cost(head + candidate.encode() + TAIL + rest) - self.cost(head + TAIL + rest)) / len(candidate)
 
     def least(self, candidate: str) -> float:
         """The novelty that ``candidate`` needs: unknown words of one or several parts cost about a byte a letter too."""
@@ -105,64 +109,64 @@ def novel_spans(text: str, model: NoveltyModel, base: list[tuple[str, int, int]]
     if not any(h in low for h in HINTS):
         return []
     found, done = [], 0
+    starts, ends = merged(base)
     for hint in CONTEXT.finditer(text):
         limit = hint.end() + REACH
         at = max(hint.end(), done)
         while at < limit and (near := CANDIDATE.search(text, at, limit + LEAST - 1)):
             m = CANDIDATE.match(text, near.start())  # begins in reach, runs on as far as it does
             at = done = m.end()
-            if any(a < m.end() and m.start() < b for _, a, b in base):
+            k = bisect_left(starts, m.end())
+            if k and m.start() < ends[k - 1]:  # overlaps a base span
                 continue
-            if model.novelty(text[max(0, m.start() - 200) : m.start()], m[0]) >= model.least(m[0]):
+            if model.novelty(text[max(0, m.start() - BEFORE) : m.start()], m[0], text[m.end() : m.end() + AFTER]) >= model.least(m[0]):
                 found.append(("novel", m.start(), m.end()))
     return found
 
 
-def fit_novelty(docs: DataFrame, sample_rows: int = 400, crop: int = 2000, size: int = 16384) -> NoveltyModel:
-    """A dictionary from at most ``sample_rows`` crops of the corpus (smallest hashed ids) and code identifiers.
+def fit_novelty(docs: DataFrame, size: int = 16384, least_letters: int = 5) -> NoveltyModel:
+    """A dictionary of the corpus' most frequent words and of code identifiers.
 
-    Long tokens with a digit are left out, so that the dictionary holds words
-    and not the secrets it is to find.
+    Words are runs of at least ``least_letters`` ASCII letters, counted once a
+    row over all rows and whole texts. The dictionary takes the most frequent
+    ones (ties in code point order), ``size`` bytes of them, best last; so at
+    most ``size`` rows come to the driver. Words hold no digits and a word has
+    to be frequent, so that the secrets that are to be found stay out.
     """
-    ids = docs.where("text is not null and length(text) > 40").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", F.substring("text", 1, crop).alias("text")).collect()
-    samples = [CANDIDATE.sub(lambda m: "" if re.search("[0-9]", m[0]) else m[0], r.text).encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
-    try:
-        content = zstandard.train_dictionary(size, samples, k=64, d=6, steps=1).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too little text to train on
-        content = b" ".join(samples)[:size]
-    return NoveltyModel(content + IDENTIFIERS.encode())
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(rf"[A-Za-z]{{{least_letters},64}}"), F.lit(0)))).alias("w"))
+    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size // (least_letters + 1)).collect()
+    return NoveltyModel(" ".join(reversed([r.w for r in top])).encode()[-size:] + b" " + IDENTIFIERS.encode())
 
 
 def scan_secrets(docs: DataFrame, model: NoveltyModel) -> DataFrame:
     """One row per input row: doc_id, counts of base spans, the base digest and all spans.
 
     Null text counts as empty; texts without findings have counts 0 and empty
-    ``spans``. Repeated rows repeat; an empty table gives an empty result;
-    other columns are ignored.
+    ``spans``. Repeated rows repeat; an empty table gives an empty result; a
+    text of any length is read whole; other columns are ignored, whatever their
+    names.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shipped = spark.sparkContext.broadcast(model)  # some thousand bytes
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # some thousand bytes
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         novelty = shipped.value
-        for frame in frames:
+
+        def run(texts):
             rows = []
-            for text in frame["text"]:
-                text = text if isinstance(text, str) else ""
+            for text in texts:
+                text = text or ""
                 base = base_spans(text)
                 every = ordered(base + novel_spans(text, novelty, base), KINDS)
-                n = {k: sum(s[0] == k for s in base) for k in KINDS}
-                rows.append((n["assign"], n["access"], n["hex"], len(every) - len(base), digest(base), joined(every)))
-            got = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
-            got.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield got
+                rows.append((*(sum(s[0] == k for s in base) for k in KINDS[:3]), len(every) - len(base), digest(base), joined(every)))
+            return list(zip(*rows))
+
+        return run
 
-    id_text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would make floats of ids with nulls
-    return id_text.mapInPandas(run, "doc_id string, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    added = [*(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType())]
+    return extend(docs.select("doc_id", "text"), ["text"], added, make).drop("text")
 
 
 def op8_secrets(spark, sf_dir):
+    """Per row of ``documents``: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans; see ``scan_secrets``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_secrets(docs, fit_novelty(docs))

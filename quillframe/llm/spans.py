@@ -16,3 +16,15 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
+
+
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order and disjoint."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
