@@ -12,8 +12,10 @@ depend on partitioning, batches or reruns.
 Pieces hold blanks only at their front, so the lattice is cut, without losing
 a path, into units of blanks and the word after them. The distinct units of a
 bounded batch are filtered together, and the draws of all their occurrences
-run together, both in numpy. Decoding joins the pieces' bytes and gives the text back
-exactly.
+run together, both in numpy. A unit of more than ``LONG_UNIT`` characters is
+filtered alone, in blocks: only the sums at the ends of the blocks are kept, and
+sampling computes one block after the other again, from the last to the first.
+Decoding joins the pieces' bytes and gives the text back exactly.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from quillframe.llm.common import map_frames, small_batches, splitmix, table
+from quillframe.llm.common import extend, splitmix, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET = 20.0
+LONG_UNIT = 20_000
 UNITS = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -110,29 +113,19 @@ class Vocabulary:
         return np.where(found == key, self.states[slot], 0)
 
 
-def filtered(units: list[str], v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward filtering of units: (end node of each, cumulative shares, codes), by node and edge length.
+def edges(chars: np.ndarray, node_of: np.ndarray, left: np.ndarray, nodes: int, width: int, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and codes of all edges, by end node and length.
 
-    A unit of n characters has nodes 0 to n; row ``end - n + p`` of the tables
-    belongs to its node p, and column l to the edge of l + 1 characters that
-    ends there. Weights get a factor per character and sums are scaled back
-    every few steps, which changes no share and keeps any length in range.
+    ``node_of`` is the node before each character and ``left`` the characters
+    from there to the unit's end. Weights get a factor per character, which
+    changes no share. The code of a piece is its id; of a character that no
+    piece covers, its byte's id or minus its code point.
     """
-    lens = np.array([len(u) for u in units], np.int64)
-    order = np.argsort(-lens, kind="stable")
-    lens = lens[order]
-    chars = np.frombuffer("".join([units[i] for i in order]).encode("utf-32-le"), np.uint32).astype(np.int64)
-    base = np.cumsum(lens + 1) - (lens + 1)
-    n = len(chars)
-    unit_of = np.repeat(np.arange(len(lens)), lens)
-    node_of = np.arange(n) + unit_of  # the node before each character
-    left = base[unit_of] + lens[unit_of] - node_of  # characters from here to the unit's end
-    width = min(v.LONGEST, int(lens[0]))
-    share = np.zeros((n + len(lens), width))
-    code = np.zeros((n + len(lens), width), np.int32)
+    share = np.zeros((nodes, width))
+    code = np.zeros((nodes, width), np.int32)
     lift = 3.0 * alpha
     gain = np.exp(alpha * v.weight)
-    at, state = np.arange(n), np.zeros(n, np.int64)
+    at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
     for l in range(width):
         state = v.advance(state, chars[at + l])
         ids = v.piece[state]
@@ -148,6 +141,70 @@ def filtered(units: list[str], v: Vocabulary, alpha: float) -> tuple[np.ndarray,
             code[node_of[~hit] + 1, 0] = np.where(lone < 128, raw, -lone)
         go = (state > 0) & (left[at] > l + 1)
         at, state = at[go], state[go]
+    return share, code
+
+
+def sample_long(unit: str, stream: np.uint64, v: Vocabulary, alpha: float, block: int = 4096) -> np.ndarray:
+    """The sampled codes of one long unit, in memory of one block and a few numbers a block."""
+    chars = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+    n, w = len(chars), v.LONGEST
+
+    def part(start):
+        """Shares and codes of the edges that end at nodes start + 1 .. stop."""
+        stop, first = min(n, start + block), max(0, start - w)
+        piece = chars[first:stop].astype(np.int64)
+        at = np.arange(len(piece))
+        share, code = edges(piece, at, len(piece) - at, len(piece) + 1, w, v, alpha)
+        return share[start - first + 1 :], code[start - first + 1 :]
+
+    def forward(share, sums):
+        """Cumulative shares of the block's nodes from the sums at the nodes before it, and the last sums."""
+        total = np.concatenate([sums, np.zeros(len(share))])  # nodes start - w + 1 .. start, then the block's
+        for p in range(len(share)):
+            row = np.cumsum(share[p] * total[p + w - 1 :: -1][:w] if p + w - 1 < w else share[p] * total[p + w - 1 : p - 1 : -1])
+            total[p + w] = row[-1]
+            share[p] = row / row[-1]
+            share[p, int(np.searchsorted(row, row[-1])) :] = 2.0
+            if p % 8 == 7:
+                total[p : p + w + 1] /= total[p + w]
+        return share, total[-w:] / total[-1]
+
+    before = [np.array([0.0] * (w - 1) + [1.0])]
+    for start in range(0, n, block):
+        before.append(forward(part(start)[0], before[-1])[1])
+    taken, node, step = [], n, 0
+    for k in reversed(range(len(before) - 1)):
+        start = k * block
+        share, code = part(start)
+        share, _ = forward(share, before[k])
+        while node > start:
+            draw = int(splitmix(np.array([stream + np.uint64((step * 0x2545F4914F6CDD1D) & (2**64 - 1))]))[0] >> np.uint64(11)) * (1.0 / (1 << 53))
+            row = share[node - start - 1]
+            edge = int((row <= draw).sum())
+            taken.append(code[node - start - 1, edge])
+            node, step = node - edge - 1, step + 1
+    return np.array(taken[::-1], np.int32)
+
+
+def filtered(units: list[str], v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward filtering of units: (end node of each, cumulative shares, codes), by node and edge length.
+
+    A unit of n characters has nodes 0 to n; row ``end - n + p`` of the tables
+    belongs to its node p, and column l to the edge of l + 1 characters that
+    ends there. Weights get a factor per character and sums are scaled back
+    every few steps, which changes no share and keeps any length in range.
+    """
+    lens = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-lens, kind="stable")
+    lens = lens[order]
+    chars = np.frombuffer("".join([units[i] for i in order]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    base = np.cumsum(lens + 1) - (lens + 1)
+    n = len(chars)
+    unit_of = np.repeat(np.arange(len(lens)), lens)
+    node_of = np.arange(n) + unit_of  # the node before each character
+    left = base[unit_of] + lens[unit_of] - node_of  # characters from here to the unit's end
+    width = min(v.LONGEST, int(lens[0]))
+    share, code = edges(chars, node_of, left, n + len(lens), width, v, alpha)
     total = np.zeros(n + len(lens))
     total[base] = 1.0
     longest = int(lens[0])
@@ -179,13 +236,22 @@ def sample_batch(texts: list[str], seeds: np.ndarray, v: Vocabulary, alpha: floa
     which = np.array([index.setdefault(u, len(index)) for p in parts for u in p], np.int64)
     if not index:
         return [np.empty(0, np.int32)] * len(texts)
-    end, share, code = filtered(list(index), v, alpha)
-    node, left = end[which], np.array([len(u) for u in index], np.int64)[which]
+    size = np.array([len(u) for u in index], np.int64)
+    short = [u for u in index if len(u) <= LONG_UNIT]
+    end = np.zeros(len(index), np.int64)
+    end[size <= LONG_UNIT], share, code = filtered(short, v, alpha) if short else (0, None, None)
+    node, left = end[which], size[which]
     place = np.arange(len(node), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
     with np.errstate(over="ignore"):
         stream = splitmix(np.repeat(seeds.astype(np.uint64), counts) + place * np.uint64(0xD1342543DE82EF95))
-    who, taken = np.arange(len(node)), []
     length = np.zeros(len(node), np.int64)
+    units = list(index)
+    alone = {}
+    with np.errstate(over="ignore"):
+        for i in np.nonzero(left > LONG_UNIT)[0].tolist():
+            alone[i] = sample_long(units[which[i]], stream[i], v, alpha)
+            length[i] = len(alone[i])
+    who, taken = np.nonzero(left <= LONG_UNIT)[0], []
     step = 0
     while len(who):
         with np.errstate(over="ignore"):
@@ -202,6 +268,8 @@ def sample_batch(texts: list[str], seeds: np.ndarray, v: Vocabulary, alpha: floa
     out = np.empty(int(stop[-1]), np.int32)
     for k, (w, c) in enumerate(taken):
         out[stop[w] - 1 - k] = c
+    for i, c in alone.items():
+        out[stop[i] - len(c) : stop[i]] = c
     ends = np.concatenate([[0], stop])[np.cumsum(counts)]
     result, at = [], 0
     for e in ends:
@@ -234,45 +302,48 @@ def encode(
 ) -> DataFrame:
     """``docs`` with an ``ids`` column (replaced if it exists): one sampled segmentation a row.
 
-    Null and empty texts have no ids. Rows with the same key and text get the
-    same ids; a null key is a key of its own. ``lossless_col`` adds a column
+    Null and empty texts have no ids; lone surrogates cannot stand in a column.
+    Rows with the same key and text get the same ids; a null key is a key of its
+    own. An empty table gives an empty result, a text of any length is encoded
+    whole, and all other columns pass unchanged. ``lossless_col`` adds a column
     that says whether decoding the ids gave the text back; it is checked in the
     same pass, so that a task holds one Python worker.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop(ids_col, *([lossless_col] if lossless_col else []))
-    shipped = spark.sparkContext.broadcast(Vocabulary.load(model_path))  # as large as the model's vocabulary
+    shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))  # as large as the model's vocabulary
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         v = shipped.value
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame[text_col]]
-            keys = np.array([xxhash.xxh3_64_intdigest("" if pd.isna(k) else str(k), seed) for k in frame[key_col]], np.uint64)
+
+        def run(texts, keys):
+            texts = [t or "" for t in texts]
+            seeds = np.array([xxhash.xxh3_64_intdigest("" if k is None else str(k), seed) for k in keys], np.uint64)
+            found = []
             for a, b in _groups(texts):
-                part = frame.iloc[a:b].copy()
-                part[ids_col] = found = sample_batch(texts[a:b], keys[a:b], v, alpha)
-                if lossless_col:
-                    part[lossless_col] = [decode_ids(i.tolist(), v) == t for i, t in zip(found, texts[a:b])]
-                yield part
+                found += sample_batch(texts[a:b], seeds[a:b], v, alpha)
+            same = [decode_ids(i.tolist(), v) == t for i, t in zip(found, texts)] if lossless_col else None
+            return (found, same) if lossless_col else (found,)
+
+        return run
 
-    extra = [StructField(ids_col, ArrayType(IntegerType()))] + ([StructField(lossless_col, BooleanType())] if lossless_col else [])
-    return map_frames(docs, run, extra)
+    added = [StructField(ids_col, ArrayType(IntegerType()))] + ([StructField(lossless_col, BooleanType())] if lossless_col else [])
+    return extend(docs, [text_col, key_col], added, make)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """``encoded`` with the text its ids stand for (null ids: empty text)."""
-    spark = encoded.sparkSession
     encoded = encoded.drop(out_col)
-    shipped = spark.sparkContext.broadcast(Vocabulary.load(model_path))
+    shipped = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shipped.value
-        for frame in frames:
-            frame[out_col] = ["" if i is None else decode_ids(i, v) for i in frame[ids_col]]
-            yield frame
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = ["" if i is None else decode_ids(i, v) for i in part.column(part.schema.names.index(ids_col)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
-    return map_frames(encoded, run, [StructField(out_col, StringType())])
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))
 
 
 def encode_checked(docs: DataFrame, **how) -> DataFrame:
@@ -282,4 +353,5 @@ def encode_checked(docs: DataFrame, **how) -> DataFrame:
 
 
 def op6_sample_pieces(spark, sf_dir):
+    """Per row of ``documents``: doc_id, n_pieces, ids, lossless; see ``encode``."""
     return encode_checked(table(spark, sf_dir, "documents"))
