@@ -2,6 +2,9 @@
 
 Every stage is a function of (spark, docs, sf_dir). What it returns is written
 as Parquet in the shared folder and read back as the next stage's ``docs``.
+All stages keep rows apart by their content, so rows without a doc_id, rows
+that share one and repeated rows pass like any others; columns of any name
+pass unchanged.
 """
 
 from __future__ import annotations
@@ -9,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.llm.byte_cnn import fit_quality, score_quality
-from quillframe.llm.common import materialise, table
-from quillframe.llm.exact_dedup import exact_dedup, keep_one
-from quillframe.llm.mixing import mix_sources, take_copies
-from quillframe.llm.near_dedup import Plan, near_dedup
+from quillframe.llm.common import free_names, materialise, table
+from quillframe.llm.exact_dedup import drop_copies
+from quillframe.llm.mixing import take_copies
+from quillframe.llm.near_dedup import Plan, drop_near_copies
 from quillframe.llm.pieces import encode_checked
 
 LEAST_QUALITY = 0.3
@@ -20,28 +23,39 @@ NEAR = Plan(percent=80)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least ``LEAST_QUALITY``; null text scores as empty."""
+    """Documents whose quality score is at least ``LEAST_QUALITY``.
+
+    Null and empty texts score alike; repeated rows stay or go together; an
+    empty table stays empty.
+    """
     net = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, net, score_col="__quality").where(f"__quality >= {LEAST_QUALITY}").drop("__quality")
+    (score,) = free_names(docs, "__quality")
+    return score_quality(docs, net, score_col=score).where(f"{score} >= {LEAST_QUALITY}").drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, the one with the largest doc_id."""
-    return keep_one(docs, exact_dedup(docs.select("doc_id", "text")))
+    """Of rows with equal text (null counts as empty), the one with the largest doc_id; see ``drop_copies``."""
+    return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component (similarity of ``NEAR``, 0.80), the document with the smallest doc_id."""
-    return keep_one(docs, near_dedup(docs.select("doc_id", "text"), NEAR))
+    """Of each near-duplicate component (similarity of ``NEAR``, 0.80), the row with the smallest doc_id.
+
+    Texts without words all stay; see ``drop_near_copies``.
+    """
+    return drop_near_copies(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
-    return take_copies(docs, mix_sources(docs.select("doc_id", "text", "source")))
+    """Every row as often as the mix of sources takes it; see ``take_copies``."""
+    return take_copies(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of every taken document: doc_id, n_pieces, ids, lossless."""
+    """A sampled segmentation of every taken row: doc_id, n_pieces, ids, lossless.
+
+    Null and empty texts have no pieces; repeated rows get equal ones.
+    """
     return encode_checked(docs)
 
 
