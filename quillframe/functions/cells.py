@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillframe.errors import UserError
+from quillframe.functions.clock import clock_text, read_clock, seconds_text
 from quillframe.types import ColumnType
 
 # Accepted spellings and formats, in the order they are tried.
@@ -79,13 +80,12 @@ def parse_date(text: Column) -> Column:
 
 def parse_datetime(text: Column) -> Column:
     t = F.regexp_replace(text, r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})T", "$1 ")
-    long = lambda p: F.try_to_timestamp(t, F.lit(p))
-    stamp = (
+    long = lambda p: read_clock(t, p)
+    return (
         F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"), long("yyyy-M-d H:m:s"))
         .when(t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"), F.coalesce(long("d/M/yyyy H:m:s"), long("M/d/yyyy H:m:s")))
         .when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}$"), long("yyyy-M-d H:m"))
     )
-    return stamp.cast("timestamp_ntz")
 
 
 def parse_time(text: Column) -> Column:
@@ -138,11 +138,6 @@ def is_valid(text: Column, kind: ColumnType) -> Column:
     return text.isNull() | (text == "") | parse_cell(text, kind).isNotNull()
 
 
-def seconds_text(seconds: Column) -> Column:
-    midnight = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
-    return F.date_format(F.timestamp_add("SECOND", seconds, midnight).cast("timestamp"), "HH:mm:ss")
-
-
 def float_text(value: Column) -> Column:
     """Shortest text without exponent; whole values without fraction."""
     plain = value.cast("string")
@@ -164,7 +159,7 @@ def render_cell(value: Column, kind: ColumnType, scale: Column | None = None) ->
     if k == "date":
         return F.date_format(value, "yyyy-MM-dd")
     if k == "datetime":
-        return F.date_format(value.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+        return clock_text(value)
     if k == "time":
         return seconds_text(value)
     if k == "currency":

@@ -18,7 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillframe.errors import UserError
-from quillframe.functions.cells import float_text, parse_date, parse_datetime, parse_time, seconds_text
+from quillframe.functions.cells import float_text, parse_date, parse_datetime, parse_time
+from quillframe.functions.clock import clock_text, seconds_text, whole_seconds, write_clock
 from quillframe.functions.strftime import spark_pattern
 
 TOKENS = re.compile(
@@ -110,7 +111,7 @@ def _dated(c: Column) -> Value:
 
 
 def _stamped(c: Column) -> Value:
-    return Value(F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), "str", native=("datetime", c))
+    return Value(clock_text(c), "str", native=("datetime", c))
 
 
 def _timed(c: Column) -> Value:
@@ -131,10 +132,14 @@ def _number(v: Value) -> Column:
     return v.column
 
 
-def _pattern(v: Value) -> str:
+def _format(v: Value) -> str:
     if not isinstance(v.constant, str):
         raise UserError("a format must be a text literal")
-    return spark_pattern(v.constant)
+    return v.constant
+
+
+def _pattern(v: Value) -> str:
+    return spark_pattern(_format(v))
 
 
 def _time_add(t: Value, n: Value) -> Value:
@@ -142,11 +147,6 @@ def _time_add(t: Value, n: Value) -> Value:
     return _timed(F.when(moved.between(0, 86399), moved).when(moved.isNotNull(), F.raise_error(F.lit("time_add_seconds crosses midnight"))))
 
 
-def _whole(c: Column) -> Column:
-    """Without the fraction of a second, which text does not show."""
-    return F.date_trunc("second", c).cast("timestamp_ntz")
-
-
 def _seconds(c: Column) -> Column:
     return F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
@@ -201,10 +201,10 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., Value]]] = {
     "date_diff_days": (2, 2, lambda a, b: Value(F.datediff(DATE(a), DATE(b)).cast("bigint"), "int")),
     "date_format": (2, 2, lambda d, f: Value(F.date_format(DATE(d), _pattern(f)), "str")),
     "datetime_add_seconds": (2, 2, lambda t, n: _stamped(F.timestamp_add("SECOND", _count(n), DATETIME(t)))),
-    "datetime_diff_seconds": (2, 2, lambda a, b: Value(F.timestamp_diff("SECOND", _whole(DATETIME(b)), _whole(DATETIME(a))), "int")),
+    "datetime_diff_seconds": (2, 2, lambda a, b: Value(F.timestamp_diff("SECOND", whole_seconds(DATETIME(b)), whole_seconds(DATETIME(a))), "int")),
     "datetime_to_date": (1, 1, lambda t: _dated(DATETIME(t).cast("date"))),
     "datetime_to_time": (1, 1, lambda t: _timed(_seconds(DATETIME(t)))),
-    "datetime_format": (2, 2, lambda t, f: Value(F.date_format(DATETIME(t).cast("timestamp"), _pattern(f)), "str")),
+    "datetime_format": (2, 2, lambda t, f: Value(write_clock(DATETIME(t), _format(f)), "str")),
     "time_add_seconds": (2, 2, lambda t, n: _time_add(t, n)),
     "time_diff_seconds": (2, 2, lambda a, b: Value((TIME(a) - TIME(b)).cast("bigint"), "int")),
     "min": (1, 99, _extreme(F.least)),

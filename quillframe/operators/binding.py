@@ -11,11 +11,13 @@ from pyspark.sql.types import StringType
 from quillframe.errors import UserError
 from quillframe.functions.cells import is_valid, parse_cell, render_cell, sanitized, scale_of
 from quillframe.functions.expressions import Value, normalize_name
-from quillframe.functions.mappings import mapped_text, replaced_text
+from quillframe.functions.mappings import mapped, replaced_text
 from quillframe.schema import ColumnMeta, Schema
+from quillframe.storage import PART, WITHIN, numbered, offset
 from quillframe.types import ColumnType
 
 ORDINAL = "__ordinal"
+STAGED = "__text"
 
 
 def quoted(name: str) -> Column:
@@ -97,6 +99,8 @@ def bind(df: DataFrame, schema: Schema | None = None, mappings: bool = True) ->
     output and once more for its value. Typed columns (Parquet and the like)
     are their own values and are rendered to text on demand. Without a schema
     text is String and typed columns keep the logical type of their Spark type.
+    Every step of a chain is a column of its own (``__text<i>_..``), so that a
+    cell goes through its chain once, whatever is read from it.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     names = [c for c in df.columns if c != ORDINAL]
@@ -106,11 +110,13 @@ def bind(df: DataFrame, schema: Schema | None = None, mappings: bool = True) ->
     else:
         metas = [ColumnMeta(n, ColumnType.of_spark(kinds[n])) for n in names]
     fields = []
-    for name, meta in zip(names, metas):
+    for i, (name, meta) in enumerate(zip(names, metas)):
         source = quoted(name)
         if isinstance(kinds[name], StringType):
             raw = F.coalesce(source, F.lit(""))
-            carried = mapped_text(raw, meta) if mappings else raw
+            carried = raw
+            if mappings and meta.mappings:
+                df, carried = mapped(df, raw, meta, f"{STAGED}{i}")
             text = replaced_text(carried, meta)
             again = replaced_text(text, meta)
             scale = scale_of(sanitized(again, True)) if meta.type.kind == "currency" else None
@@ -127,18 +133,14 @@ def bind(df: DataFrame, schema: Schema | None = None, mappings: bool = True) ->
 def with_ordinal(df: DataFrame, start: int = 1) -> DataFrame:
     """``df`` with ``__ordinal``: the contiguous position of each row in input order.
 
-    Two passes: rows a partition (two numbers each, collected), then an offset
-    a partition, joined by broadcast. No row leaves its partition. The input
-    must give the same partitions twice, as file scans and persisted frames do.
+    A plan without shuffles, as of a file scan, gives the same partitions every
+    time: it is counted in one pass and numbered in another, and no row leaves
+    its partition. The rows of any other plan are first written with their
+    places. An offset a partition is joined by broadcast; a row whose partition
+    has none fails the job.
     """
     if ORDINAL in df.columns:
         return df
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = df.withColumns({"__part": F.spark_partition_id(), "__within": within})
-    offsets, total = [], start
-    for r in sorted(df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect(), key=lambda r: r.p):
-        offsets.append((r.p, total))
-        total += r["count"]
-    known = df.sparkSession.createDataFrame(offsets, "__known int, __offset bigint")
-    placed = rows.join(F.broadcast(known), F.col("__part") == F.col("__known"))
-    return placed.select(*[quoted(c) for c in df.columns], (F.col("__offset") + F.col("__within")).alias(ORDINAL))
+    if any(step in df._jdf.queryExecution().executedPlan().toString() for step in ("Exchange", "Limit", "Sample", "InMemory")):
+        return numbered(df, ORDINAL, start)
+    return offset(df.withColumns({PART: F.spark_partition_id(), WITHIN: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), ORDINAL, start)

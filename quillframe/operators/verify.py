@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillframe.errors import UserError
 from quillframe.functions.cells import is_valid
-from quillframe.functions.mappings import mapped_text, replaced_text
-from quillframe.operators.binding import ORDINAL, quoted, with_ordinal
+from quillframe.functions.mappings import mapped, replaced_text
+from quillframe.operators.binding import ORDINAL, STAGED, quoted, with_ordinal
 from quillframe.schema import Schema
 
 
@@ -58,7 +58,7 @@ def violations(df: DataFrame, schema: Schema, with_rows: bool = True) -> DataFra
     cells = []
     for i, (name, c) in enumerate(zip([c for c in df.columns if c != ORDINAL], schema.columns)):
         raw = F.coalesce(quoted(name).cast("string"), F.lit(""))
-        carried = mapped_text(raw, c)
+        df, carried = mapped(df, raw, c, f"{STAGED}{i}")
         text = replaced_text(carried, c)
         fine = carried.isNotNull() & is_valid(text, c.type)
         if c.type.kind == "string" and not c.mappings:
