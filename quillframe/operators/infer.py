@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.errors import UserError
@@ -28,6 +28,7 @@ LAYOUT_ROWS = 6
 SYMBOL_PERCENT = 30
 HEADER_PERCENT, HEADER_LEAST = 80, 4
 TRACKED = 5
+UNDECODED = "__undecoded"
 
 
 def synthetic_names(width: int) -> list[str]:
@@ -203,13 +204,14 @@ class Inference:
     samples: list[str | None]
     observations: list[str]
     placeholders: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
+    undecoded: int = 0
     overrides: set[str] = field(default_factory=set)
     suggested: set[str] = field(default_factory=set)
 
 
 def sampled(df: DataFrame, sample_rows: int) -> DataFrame:
     """The leading rows that inference reads (0: all), less repeated headers."""
-    rows = df.where(~header_like_row(df.columns))
+    rows = df.where(~header_like_row([c for c in df.columns if c != UNDECODED]))
     return rows.limit(sample_rows) if sample_rows else rows
 
 
@@ -226,22 +228,32 @@ def placeholder_tally(df: DataFrame) -> DataFrame:
 
 
 def infer(df: DataFrame, *, sample_rows: int = 2000, has_headers: bool = True, overrides: Sequence[str] = (), mapping: bool = False) -> Inference:
-    """Infer a schema from text columns, with samples, value counts and placeholders."""
+    """Infer a schema from text columns, with samples, value counts and placeholders.
+
+    A column ``UNDECODED`` counts the cells of a row that could not be decoded
+    and were skipped; it is no column of the schema.
+    """
     from quillframe.schema import apply_overrides
 
-    rows = sampled(df, sample_rows).persist()
+    rows = sampled(df, sample_rows)
+    if sample_rows:
+        rows = rows.persist()  # a bounded sample; a full scan is read again instead
     try:
-        found = {r.position: r for r in votes(rows).collect()}
-        types = [decide(found[i]) if i in found else STRING for i in range(len(df.columns))]
-        schema = Schema([ColumnMeta(n, t) for n, t in zip(df.columns, types)], has_headers)
-        samples, observations = _observe(rows)
+        columns = [c for c in df.columns if c != UNDECODED]
+        cells = rows.select(*[quoted(c) for c in columns])
+        found = {r.position: r for r in votes(cells).collect()}
+        types = [decide(found[i]) if i in found else STRING for i in range(len(columns))]
+        schema = Schema([ColumnMeta(n, t) for n, t in zip(columns, types)], has_headers)
+        samples, observations = _observe(cells)
         tally: dict[str, list[tuple[str, int]]] = {}
-        for r in placeholder_tally(rows).orderBy("column", "token").collect():
+        for r in placeholder_tally(cells).orderBy("column", "token").collect():
             tally.setdefault(r.column, []).append((r.token, r["count"]))
         total = max((r.rows for r in found.values()), default=0)
+        undecoded = rows.agg(F.sum(UNDECODED)).first()[0] or 0 if UNDECODED in df.columns else 0
     finally:
-        rows.unpersist()
-    out = Inference(schema, total, samples, observations, tally)
+        if sample_rows:
+            rows.unpersist()
+    out = Inference(schema, total, samples, observations, tally, undecoded)
     out.overrides = apply_overrides(schema, overrides)
     if mapping:
         for c in schema.columns:
@@ -254,17 +266,27 @@ def infer(df: DataFrame, *, sample_rows: int = 2000, has_headers: bool = True, o
 
 
 def _observe(rows: DataFrame) -> tuple[list[str | None], list[str]]:
-    """A first filled cell, and the most frequent values, of each column (bounded lists)."""
-    firsts = rows.agg(*[F.first(F.when(F.trim(quoted(c)) != "", quoted(c)), True).alias(f"c{i}") for i, c in enumerate(rows.columns)]).first()
-    long = rows.select(F.posexplode(F.array(*[F.coalesce(quoted(c), F.lit("")) for c in rows.columns])).alias("p", "v")).where("v <> ''")
-    counts = long.groupBy("p", "v").count()
-    top = counts.groupBy("p").agg(F.sum("count").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "v"))), 1, TRACKED).alias("best")).collect() if rows.columns else []
-    texts = [""] * len(rows.columns)
-    for r in top:
-        shown = [f"{b.v} ({-b.k})" for b in r.best]
-        other = r.n + sum(b.k for b in r.best)
-        texts[r.p] = ", ".join(shown + ([f"other ({other})"] if other else []))
-    return list(firsts) if firsts else [], texts
+    """A first value, and the first ``TRACKED`` distinct values with their counts, of each column.
+
+    Empty cells and placeholders do not count. Each task keeps its own first
+    distinct values, so no task sees more of a column than that.
+    """
+    if not rows.columns:
+        return [], []
+    cells = rows.select(F.monotonically_increasing_id().alias("at"), F.posexplode(F.array(*[F.trim(F.coalesce(quoted(c), F.lit(""))) for c in rows.columns])).alias("p", "v"))
+    cells = cells.where((F.col("v") != "") & ~is_placeholder(F.col("v")))
+    counts = cells.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    first = counts.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("at", "v"))).where(F.col("k") <= TRACKED)
+    filled = {r.p: r["count"] for r in cells.groupBy("p").count().collect()}
+    seen: dict[int, list] = {}
+    for r in first.orderBy("p", "k").collect():  # at most TRACKED rows a column
+        seen.setdefault(r.p, []).append((r.v, r.n))
+    texts = []
+    for p in range(len(rows.columns)):
+        shown = [f"{v} ({n})" for v, n in seen.get(p, [])]
+        other = filled.get(p, 0) - sum(n for _, n in seen.get(p, []))
+        texts.append(", ".join(shown + ([f"other ({other})"] if other else [])))
+    return [seen[p][0][0] if p in seen else None for p in range(len(rows.columns))], texts
 
 
 def placeholder_replacements(found: Inference, behavior: str = "empty", fill: str = "") -> Schema:
@@ -311,6 +333,8 @@ def probe_report(found: Inference, sample_rows: int) -> str:
         rows.append([str(i + 1), c.name, str(c.type), rename, "+".join(flags) or "—", cut or "—", format_hint(c.type, sample), found.observations[i] or "—"])
     out = render_table(["#", "name", "type", "rename", "override", "sample", "format", "observations"], rows)
     scope = "full scan" if not sample_rows else f"sample of up to {sample_rows} rows"
+    if found.undecoded:
+        out += f"\nCells skipped because they could not be decoded: {found.undecoded}\n"
     out += f"\nRows read: {found.rows} ({scope})\nSignature: sha256:{found.schema.signature()}\n"
     if found.placeholders:
         out += "\nPlaceholders:\n" + "".join(f"  {c}: {', '.join(f'{t} ({n})' for t, n in tokens)}\n" for c, tokens in found.placeholders.items())

@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("--input", "-i", required=True, action="append" if many else "store")
         v.add_argument("--delimiter")
         v.add_argument("--input-encoding")
+        v.add_argument("--no-multiline", dest="multiline", action="store_false", help="no field holds a line break, so that large files are read in parallel")
 
     schema = verbs.add_parser("schema")
     schema.add_argument("--output", "--schema", "-o", "-m", dest="output")
@@ -112,6 +113,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--type", choices=combine.JOINS, default="inner")
     for flag in ("--output", "--left-schema", "--right-schema", "--delimiter", "--left-encoding", "--right-encoding", "--output-encoding"):
         v.add_argument(flag, *(["-o"] if flag == "--output" else []))
+    v.add_argument("--no-multiline", dest="multiline", action="store_false", help="no field holds a line break, so that large files are read in parallel")
     return p
 
 
@@ -123,9 +125,9 @@ def _path(spark, path: str) -> str:
     return D.spool_stdin(spark) if path == D.STDIN else path
 
 
-def _read(spark, path: str, sep: str | None, code: str | None, schema: Schema | None) -> DataFrame:
+def _read(spark, path: str, sep: str | None, code: str | None, schema: Schema | None, multiline: bool = True) -> DataFrame:
     header = True if path == D.STDIN and schema is None else None
-    return D.read_delimited(spark, _path(spark, path), sep=sep, code=code, schema=schema, header=header)
+    return D.read_delimited(spark, _path(spark, path), sep=sep, code=code, schema=schema, header=header, multiline=multiline)
 
 
 def _emit(df: DataFrame, output: str | None, sep: str, code: str | None, as_table: bool = False) -> None:
@@ -153,7 +155,7 @@ def run_schema(spark, a) -> None:
 def run_verify(spark, a) -> None:
     schema, report = Schema.load(a.schema), verify.Report.parse(a.report_invalid)
     for path in a.input:
-        rows = _read(spark, path, a.delimiter, a.input_encoding, schema)
+        rows = _read(spark, path, a.delimiter, a.input_encoding, schema, a.multiline)
         if not (report.detail or report.summary):
             verify.assert_valid(rows, schema)
             continue
@@ -173,7 +175,7 @@ def run_infer(spark, a) -> None:
     path, sep = _path(spark, a.input), D.input_delimiter(a.input, a.delimiter)
     code = D.encoding(a.input_encoding)
     columns, header = D.layout(spark, path, sep, code, True if a.input == D.STDIN and a.assume_header is None else a.assume_header)
-    rows = D.read_delimited(spark, path, sep=sep, code=code, header=header, columns=columns)
+    rows = D.read_delimited(spark, path, sep=sep, code=code, header=header, columns=columns, multiline=a.multiline, undecoded="skip")
     found = infer.infer(rows, sample_rows=a.sample_rows, has_headers=header, overrides=a.override, mapping=a.mapping)
     report = infer.probe_report(found, a.sample_rows)
     if a.snapshot:
@@ -209,7 +211,8 @@ def run_index(spark, a) -> None:
         raise UserError("index cannot read standard input")
     schema = _schema(a.schema)
     variants = cluster.variants_of(a.columns, a.spec, a.covering)
-    index = cluster.build(_read(spark, a.input, a.delimiter, a.input_encoding, schema), a.index, variants, schema, a.limit)
+    rows = _read(spark, a.input, a.delimiter, a.input_encoding, schema, a.multiline)
+    index = cluster.build(rows, a.index, variants, schema, a.limit, source=D.fingerprint(spark, a.input))
     LOG.info("index %s: %s", a.index, "; ".join(index.describe().splitlines()))
 
 
@@ -218,22 +221,23 @@ def run_process(spark, a) -> None:
         raise UserError("--preview and --output exclude each other")
     schema, sort = _schema(a.schema), parse_sort(a.sort)
     sep = D.input_delimiter(a.input, a.delimiter)
-    rows = None
     if a.index_variant and not (a.index and sort):
         raise UserError("--index-variant needs --index and --sort")
+    limit = a.limit if a.limit is not None or not a.preview else PREVIEW_ROWS
+    how = dict(
+        columns=a.columns, exclude=a.exclude_columns, derive=a.derive, filters=a.filter, filter_exprs=a.filter_expr, sort=a.sort, limit=limit, row_numbers=a.row_numbers,
+        boolean_format=a.boolean_format, apply_mappings=a.apply_mappings, skip_mappings=a.skip_mappings, strict=True, as_text=True,
+    )
+    out = None
     if a.index and sort:
         index = cluster.load(spark, a.index)
         if variant := index.pick(sort, a.index_variant):
             if a.input == D.STDIN:
                 raise UserError("an indexed sort cannot read standard input")
-            rows = index.read(variant)
-    if rows is None:
-        rows = _read(spark, a.input, sep, a.input_encoding, schema)
-    limit = a.limit if a.limit is not None or not a.preview else PREVIEW_ROWS
-    out = process(
-        rows, schema, columns=a.columns, exclude=a.exclude_columns, derive=a.derive, filters=a.filter, filter_exprs=a.filter_expr, sort=a.sort, limit=limit,
-        row_numbers=a.row_numbers, boolean_format=a.boolean_format, apply_mappings=a.apply_mappings, skip_mappings=a.skip_mappings, strict=True, as_text=True,
-    )
+            index.check(D.fingerprint(spark, a.input))
+            out = index.process(variant, schema, **how)
+    if out is None:
+        out = process(_read(spark, a.input, sep, a.input_encoding, schema, a.multiline), schema, **how)
     _emit(out, a.output, D.output_delimiter(a.output, a.output_delimiter, sep), a.output_encoding, a.table or a.preview)
 
 
@@ -245,9 +249,9 @@ def run_append(spark, a) -> None:
             sep, code = D.input_delimiter(path, a.delimiter), D.encoding(a.input_encoding)
             local = _path(spark, path)
             columns, header = D.layout(spark, local, sep, code, True if path == D.STDIN else None)
-            frames.append(D.read_delimited(spark, local, sep=sep, code=code, header=header, columns=columns))
+            frames.append(D.read_delimited(spark, local, sep=sep, code=code, header=header, columns=columns, multiline=a.multiline))
         else:
-            frames.append(_read(spark, path, a.delimiter, a.input_encoding, schema))
+            frames.append(_read(spark, path, a.delimiter, a.input_encoding, schema, a.multiline))
             header = schema.has_headers
     out, sep = combine.append(frames, schema), D.input_delimiter(a.input[0], a.delimiter)
     sep = D.output_delimiter(a.output, None, sep)
@@ -261,7 +265,7 @@ def run_stats(spark, a) -> None:
     schema = _schema(a.schema)
     if a.input == D.STDIN and schema is None:
         raise UserError("stats from standard input needs a schema")
-    rows = _read(spark, a.input, a.delimiter, a.input_encoding, schema)
+    rows = _read(spark, a.input, a.delimiter, a.input_encoding, schema, a.multiline)
     if schema is None:
         schema = infer.placeholder_replacements(infer.infer(rows, sample_rows=0))
     how = {"columns": a.columns, "filters": a.filter, "filter_exprs": a.filter_expr, "limit": a.limit, "strict": True}
@@ -280,8 +284,8 @@ def run_join(spark, a) -> None:
     left_schema, right_schema = _schema(a.left_schema), _schema(a.right_schema)
     if a.left == D.STDIN and left_schema is None:
         raise UserError("a left input from standard input needs a schema")
-    left = _read(spark, a.left, a.delimiter, a.left_encoding, left_schema)
-    right = _read(spark, a.right, a.delimiter, a.right_encoding, right_schema)
+    left = _read(spark, a.left, a.delimiter, a.left_encoding, left_schema, a.multiline)
+    right = _read(spark, a.right, a.delimiter, a.right_encoding, right_schema, a.multiline)
     left_schema = left_schema or infer.infer(left, sample_rows=0).schema
     right_schema = right_schema or infer.infer(right, sample_rows=0).schema
     out = combine.join(left, right, listed([a.left_key]), listed([a.right_key]), a.type, left_schema, right_schema)
