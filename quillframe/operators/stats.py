@@ -14,6 +14,7 @@ from quillframe.operators.binding import ORDINAL, Bound, Field, bind, quoted, wi
 from quillframe.operators.filters import compile_filters, uses_row_number
 from quillframe.operators.transform import listed
 from quillframe.schema import Schema
+from quillframe.storage import numbered
 from quillframe.types import NUMERIC, TEMPORAL, ColumnType
 
 METRICS = ("count", "min", "max", "mean", "median", "std_dev")
@@ -65,7 +66,10 @@ def selected_rows(df: DataFrame, schema: Schema | None, filters, filter_exprs, l
 
 
 def summarize(df: DataFrame, schema: Schema | None = None, *, columns: Sequence[str] = (), filters: Sequence[str] = (), filter_exprs: Sequence[str] = (), limit: int = 0, strict: bool = False) -> DataFrame:
-    """column, count, min, max, mean, median, std_dev, scale: one row a column, in one pass.
+    """column, count, min, max, mean, median, std_dev, scale: one row a column.
+
+    One pass gives all but the median, and for each median a bracket of values
+    around it; a second pass counts the values in the brackets.
 
     Values are doubles: of dates, days since 1970; of datetimes, seconds since
     1970; of times, seconds of the day. ``std_dev`` is the sample deviation,
@@ -78,10 +82,48 @@ def summarize(df: DataFrame, schema: Schema | None = None, *, columns: Sequence[
     for i, _ in enumerate(fields):
         m = F.col(f"m{i}")
         deviation = F.when(F.count(m) > 1, F.greatest(F.stddev_samp(m), F.lit(0.0)))
-        aggregates += [a.alias(f"{n}{i}") for n, a in zip(METRICS, (F.count(m), F.min(m), F.max(m), F.avg(m), F.median(m), deviation))]
-        aggregates.append(F.max(f"s{i}").alias(f"scale{i}"))
-    lines = [F.struct(F.lit(f.output).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in (*METRICS, "scale")]) for i, f in enumerate(fields)]
-    return rows.agg(*aggregates).select(F.inline(F.array(*lines)))
+        aggregates += [a.alias(f"{n}{i}") for n, a in zip((*METRICS[:4], "std_dev"), (F.count(m), F.min(m), F.max(m), F.avg(m), deviation))]
+        aggregates += [F.max(f"s{i}").alias(f"scale{i}"), F.percentile_approx(m, [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias(f"bracket{i}")]
+    one = rows.agg(*aggregates).first()  # one row
+    medians = _medians(rows, [(one[f"count{i}"], *(one[f"bracket{i}"] or (None, None))) for i in range(len(fields))])
+    lines = [(f.output, *[medians[i] if n == "median" else one[f"{n}{i}"] for n in METRICS], one[f"scale{i}"]) for i, f in enumerate(fields)]
+    return df.sparkSession.createDataFrame(lines, "column string, count long, min double, max double, mean double, median double, std_dev double, scale int")
+
+
+ACCURACY, BRACKET = 10_000, 2e-4  # a bracket's ends are off by at most 1 / ACCURACY of the rows
+
+
+def _medians(rows: DataFrame, brackets: list[tuple[int, float | None, float | None]]) -> list[float | None]:
+    """The exact medians of the columns m<i>, from (count, low, high) with low <= median <= high.
+
+    Only values between low and high are told apart; those below are counted.
+    So what one column's window sees is a small, fixed share of its rows.
+    """
+    open_ = [i for i, (n, _, _) in enumerate(brackets) if n]
+    out: list[float | None] = [None] * len(brackets)
+    if not open_:
+        return out
+    places, wanted = [], F.lit(False)
+    for i in open_:
+        n, low, high = brackets[i]
+        m = F.col(f"m{i}")
+        place = F.when(m < low, F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
+        places.append(place.when(m <= high, F.struct(F.lit(i).alias("i"), m.alias("v"))))
+        middle = (F.col("upto") - F.col("count") < n // 2 + 1) & (F.col("upto") > (n - 1) // 2)  # one of its places is a middle one
+        wanted = wanted | ((F.col("i") == i) & F.col("v").isNotNull() & middle)
+    counts = rows.select(F.explode(F.array_compact(F.array(*places))).alias("p")).select("p.*").groupBy("i", "v").count()
+    ranked = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())))
+    found: dict[int, list] = {}
+    for r in ranked.where(wanted).collect():  # at most two rows a column
+        found.setdefault(r.i, []).append((r.v, r.upto))
+    value = lambda k, at: next((v for v, upto in at if upto >= k), None)
+    for i in open_:
+        n, at = brackets[i][0], sorted(found.get(i, []), key=lambda p: p[1])
+        low, high = value((n - 1) // 2 + 1, at), value(n // 2 + 1, at)
+        if low is None or high is None:  # the bracket missed a middle place: look at all values
+            low = high = _medians(rows, [(n if j == i else 0, float("-inf"), float("nan")) for j in range(len(brackets))])[i]
+        out[i] = low if low == high else 0.5 * low + 0.5 * high
+    return out
 
 
 def _scale(f: Field) -> Column:
@@ -161,10 +203,11 @@ def frequency(df: DataFrame, schema: Schema | None = None, *, columns: Sequence[
     long = texts.unpivot([], [quoted(f.output) for f in fields], "column", "value")
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     if top:
-        order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-        totals = counts.groupBy("column").agg(F.sum("count").alias("total"))
+        order = Window.partitionBy("column").orderBy(F.desc("count"), "value")  # each task keeps its top first
+        totals = F.broadcast(counts.groupBy("column").agg(F.sum("count").alias("total")))  # one row a column
         ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).join(totals, "column")
     else:
-        totals = counts.groupBy("column").agg(F.sum("count").alias("total"))
-        ranked = counts.join(totals, "column").withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value")))
+        placed = numbered(counts.orderBy("column", F.desc("count"), "value"), "place")  # sorted by range, over all tasks
+        totals = F.broadcast(placed.groupBy("column").agg(F.sum("count").alias("total"), F.min("place").alias("first")))
+        ranked = placed.join(totals, "column").withColumn("rank", F.col("place") - F.col("first") + 1)
     return ranked.select("column", "value", "count", F.round(F.col("count") * 100.0 / F.col("total"), 2).alias("percent"), F.col("rank").cast("bigint").alias("rank"))

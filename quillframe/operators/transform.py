@@ -13,6 +13,7 @@ from quillframe.functions.expressions import Value, compile_expression, text_of
 from quillframe.operators.binding import ORDINAL, Bound, Field, bind, with_ordinal
 from quillframe.operators.filters import compile_filters, uses_row_number
 from quillframe.schema import Schema
+from quillframe.storage import numbered
 
 ROW_NUMBER = "row_number"
 BOOLEAN_FORMATS = {"original": None, "true-false": ("true", "false"), "one-zero": ("1", "0")}
@@ -126,20 +127,15 @@ def number_rows(rows: DataFrame, order: list[Column], limit: int | None) -> tupl
 
     A limited result is numbered by a window, which Spark plans on top of its
     top-k. An unlimited one keeps its partitions: it is range-sorted once,
-    persisted, and numbered by partition offsets.
+    written with its places, and numbered by partition offsets.
     """
     if limit is not None and order:
         rows = rows.withColumn("__position", F.row_number().over(Window.orderBy(*order)))
     else:
-        rows = with_ordinal(rows.drop(ORDINAL).persist()).withColumnRenamed(ORDINAL, "__position") if ORDINAL not in rows.columns else _renumbered(rows)
+        rows = numbered(rows, "__position")
     return rows, F.col("__position").cast("bigint")
 
 
-def _renumbered(rows: DataFrame) -> DataFrame:
-    kept = rows.withColumnRenamed(ORDINAL, "__input").persist()
-    return with_ordinal(kept).withColumnRenamed(ORDINAL, "__position")
-
-
 def output_columns(bound: Bound, columns, exclude, derived, position, row_numbers, boolean_format, as_text) -> list[Column]:
     """Row number, then existing columns in the order asked for, then derived ones."""
     wanted, gone = listed(columns), set(listed(exclude))
