@@ -6,7 +6,6 @@ Sort order shows in a ``row_number`` column, since results are compared as sets.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,28 +13,11 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import cluster, combine, infer, stats, verify
 from quillframe.operators.transform import parse_sort, process
+from quillframe.plans.registry import ORACLES, QUERIES, on, register, table
 from quillframe.schema import ColumnMeta, Mapping, Schema
+from quillframe.storage import shared_dir
 from quillframe.types import CURRENCY, DATE, DATETIME, FLOAT, INTEGER, STRING, ColumnType
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, run, sql: str | None = None) -> None:
-    QUERIES[name] = run
-    if sql:
-        ORACLES[name] = sql
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def on(name: str, **options):
-    """``process`` over one table; keys are unique, so no ordinals are needed."""
-    return lambda spark, d: process(table(spark, d, name), stable=False, **options)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process(
         table(spark, sf_dir, "orders"), filters=["o_orderstatus = F"], derive=["total_with_tax=o_totalprice * 1.0825"],
@@ -52,8 +34,8 @@ register(
 # Projection
 register("scan_project", on("orders", columns=["o_orderkey,o_orderstatus", "o_totalprice"]), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 register("exclude_columns", on("customer", exclude=["c_acctbal,c_mktsegment"]), "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer")
-RENAMED = Schema([ColumnMeta("r_regionkey", INTEGER, "region_id"), ColumnMeta("r_name", STRING, "region")])
-register("rename_columns", lambda s, d: process(table(s, d, "region"), RENAMED, as_text=False), "SELECT CAST(r_regionkey AS BIGINT) AS region_id, r_name AS region FROM region")
+RENAMED = Schema([ColumnMeta("c_custkey", INTEGER, "id"), ColumnMeta("c_name", STRING, "name")])
+register("rename_columns", lambda s, d: process(table(s, d, "customer").select("c_custkey", "c_name"), RENAMED, as_text=False), "SELECT c_custkey AS id, c_name AS name FROM customer")
 
 # Filters
 for _name, _table, _key, _filter, _where in (
@@ -62,7 +44,7 @@ for _name, _table, _key, _filter, _where in (
     ("filter_gt", "lineitem", "l_orderkey,l_linenumber,l_quantity", "l_quantity > 45", "l_quantity > 45"),
     ("filter_ge", "lineitem", "l_orderkey,l_linenumber,l_quantity", "l_quantity >= 45", "l_quantity >= 45"),
     ("filter_lt", "orders", "o_orderkey", "o_orderdate < 1995-06-01 00:00:00", "o_orderdate < TIMESTAMP '1995-06-01'"),
-    ("filter_le", "orders", "o_orderkey,o_totalprice", "o_totalprice <= 1000.5", "o_totalprice <= 1000.5"),
+    ("filter_le", "orders", "o_orderkey,o_totalprice", "o_totalprice <= 150000.5", "o_totalprice <= 150000.5"),
     ("filter_contains", "part", "p_partkey,p_name", "p_name contains ring", "contains(p_name, 'ring')"),
     ("filter_startswith", "customer", "c_custkey,c_mktsegment", 'c_mktsegment startswith "HOUSE"', "starts_with(c_mktsegment, 'HOUSE')"),
     ("filter_endswith", "customer", "c_custkey,c_mktsegment", "c_mktsegment ENDSWITH ERY", "suffix(c_mktsegment, 'ERY')"),
@@ -143,7 +125,7 @@ for _name, _expr, _sql in (
 register("row_numbers", on("orders", columns=["o_orderkey"], sort=["o_orderdate,o_orderkey:desc"], row_numbers=True), "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey DESC) AS row_number, o_orderkey FROM orders")
 MIXED = ["l_shipdate:desc,l_quantity,l_orderkey,l_partkey,l_suppkey,l_linenumber"]
 MIXED_SQL = "ORDER BY l_shipdate DESC, l_quantity, l_orderkey, l_partkey, l_suppkey, l_linenumber"
-register("sort_multi_mixed", on("lineitem", columns=["l_orderkey,l_quantity"], sort=MIXED, limit=5000, row_numbers=True), f"SELECT row_number() OVER ({MIXED_SQL}) AS row_number, l_orderkey, l_quantity FROM (SELECT * FROM lineitem {MIXED_SQL} LIMIT 5000)")
+register("sort_multi_mixed", on("lineitem", columns=["l_orderkey,l_quantity"], sort=MIXED, row_numbers=True), f"SELECT row_number() OVER ({MIXED_SQL}) AS row_number, l_orderkey, l_quantity FROM lineitem")
 register("sort_nulls", lambda s, d: process(_with_gaps(s, d), sort=["first_order,c_custkey"], row_numbers=True, stable=False), f"SELECT row_number() OVER (ORDER BY first_order NULLS FIRST, c_custkey) AS row_number, * FROM {GAPS}")
 register("topk", on("lineitem", columns=["l_orderkey,l_extendedprice"], sort=["l_extendedprice:desc,l_orderkey,l_partkey,l_suppkey,l_linenumber"], limit=100), "SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 100")
 register("limit_after_sort", on("orders", columns=["o_orderkey,o_totalprice"], filters=["o_orderstatus = P"], sort=["o_totalprice,o_orderkey"], limit=50), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice, o_orderkey LIMIT 50")
@@ -181,7 +163,7 @@ register("stats_datetime", lambda s, d: _rounded(stats.summarize(table(s, d, "or
 for _name, _column, _metric in (("stats_decimal", "price", "CAST(o_totalprice AS DECIMAL(12,2))"), ("stats_date", "day", f"date_diff('day', DATE '1970-01-01', {DAY})"), ("stats_time", "clock", "o_orderkey % 86400")):
     register(_name, lambda s, d, c=_column: _rounded(stats.summarize(_with_types(s, d), TYPED, columns=[c])), stat_sql(_column, _metric, "orders"))
 register("stats_filtered", lambda s, d: _rounded(stats.summarize(table(s, d, "orders"), columns=["o_totalprice"], filters=["o_orderstatus = F"], filter_exprs=["o_custkey > 100"])), stat_sql("o_totalprice", "o_totalprice", "(SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_custkey > 100)"))
-register("stats_scan_limit", lambda s, d: stats.summarize(table(s, d, "orders"), columns=["o_totalprice"], limit=500).select("column", "count"), "SELECT 'o_totalprice' AS \"column\", CAST(500 AS BIGINT) AS count")
+register("stats_scan_limit", lambda s, d: _rounded(stats.summarize(table(s, d, "orders"), columns=["o_totalprice"], limit=500)), stat_sql("o_totalprice", "o_totalprice", "(SELECT * FROM orders LIMIT 500)"))
 
 
 # Frequencies
@@ -198,7 +180,7 @@ register("frequency_filtered", lambda s, d: stats.frequency(table(s, d, "events"
 register("frequency_empty", lambda s, d: stats.frequency(_with_gaps(s, d), columns=["first_order"], top=3), freq_sql("first_order", "CAST(first_order AS VARCHAR)", GAPS, 3))
 
 # Append and joins
-register("append_union_all", lambda s, d: combine.append([table(s, d, "region"), table(s, d, "region")]), "SELECT * FROM region UNION ALL SELECT * FROM region")
+register("append_union_all", lambda s, d: combine.append([table(s, d, "orders"), table(s, d, "orders")]), "SELECT * FROM orders UNION ALL SELECT * FROM orders")
 CUSTOMER_TEXT = Schema([ColumnMeta("c_custkey", INTEGER, "id"), ColumnMeta("c_name", STRING, "name", [("Customer#000000001", "first")])])
 register(
     "append_with_schema", lambda s, d: combine.append([table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name")] * 2, CUSTOMER_TEXT),
@@ -207,24 +189,18 @@ register(
 register("join_inner", lambda s, d: combine.join(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").select("c_custkey", "c_name"), "o_custkey", "c_custkey"), "SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 
 
-def _rich(s, d):
-    return table(s, d, "customer").where("c_acctbal > 5000").select("c_custkey", "c_acctbal")
-
-
-RICH = "(SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000)"
-BIG = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 400000)"
-for _how in ("left", "right", "full"):
+for _how in ("left", "right", "full"):  # customers of orders against suppliers by number: rows of both sides are left over
     register(
-        f"join_{_how}", lambda s, d, how=_how: combine.join(table(s, d, "orders").where("o_totalprice > 400000").select("o_orderkey", "o_custkey"), _rich(s, d), "o_custkey", "c_custkey", how),
-        f"SELECT o_orderkey, {'o_custkey' if _how == 'left' else 'coalesce(o_custkey, c_custkey) AS o_custkey'}, c_acctbal FROM {BIG} {_how} JOIN {RICH} ON o_custkey = c_custkey",
+        f"join_{_how}", lambda s, d, how=_how: combine.join(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "supplier").select("s_suppkey", "s_name"), "o_custkey", "s_suppkey", how),
+        f"SELECT o_orderkey, {'o_custkey' if _how == 'left' else 'coalesce(o_custkey, s_suppkey) AS o_custkey'}, s_name FROM orders {_how} JOIN supplier ON o_custkey = s_suppkey",
     )
 register(
     "join_multikey", lambda s, d: combine.join(table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey"), table(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_partkey,l_suppkey", "l_partkey,l_suppkey"),
     "SELECT a.l_partkey, a.l_suppkey, a.l_orderkey, n FROM lineitem a JOIN (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey",
 )
-register(
-    "join_null_safe", lambda s, d: combine.join(_with_gaps(s, d).where("c_custkey < 200"), _with_gaps(s, d).where("c_custkey < 50").select(F.col("first_order").alias("k"), F.col("c_custkey").alias("other")), "first_order", "k"),
-    f"SELECT a.c_custkey, a.first_order, b.c_custkey AS other FROM {GAPS} a JOIN {GAPS} b ON a.first_order IS NOT DISTINCT FROM b.first_order WHERE a.c_custkey < 200 AND b.c_custkey < 50",
+register(  # every customer, most without such an order, to the number of customers that share the value: one row a key, null included
+    "join_null_safe", lambda s, d: combine.join(_with_gaps(s, d), _with_gaps(s, d).groupBy(F.col("first_order").alias("k")).agg(F.count(F.lit(1)).alias("sharing")), "first_order", "k"),
+    f"SELECT a.c_custkey, a.first_order, b.sharing FROM {GAPS} a JOIN (SELECT first_order AS k, count(*) AS sharing FROM {GAPS} GROUP BY 1) b ON a.first_order IS NOT DISTINCT FROM b.k",
 )
 register(
     "join_collision", lambda s, d: combine.join(table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("name")), table(s, d, "customer").select("c_nationkey", F.col("c_name").alias("name")), "n_nationkey", "c_nationkey"),
@@ -338,15 +314,29 @@ register(
 
 
 def _index_root(s: SparkSession) -> str:
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='quillframe-index-')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(s)}/{uuid.uuid4().hex}"
 
 
 def _clustered(s, d):
     lines = table(s, d, "lineitem")
     index = cluster.build(lines, _index_root(s), [cluster.parse_variant("recent=l_shipdate:desc,l_quantity")])
     variant = index.pick(parse_sort(MIXED))
-    return process(index.read(variant), columns=["l_orderkey,l_quantity"], sort=MIXED, limit=5000, row_numbers=True, stable=False)
+    return index.process(variant, columns=["l_orderkey,l_quantity"], sort=MIXED, row_numbers=True, stable=False)
 
 
 register("clustered_sort", _clustered, ORACLES["sort_multi_mixed"])
+
+
+def _clustered_top(s, d):
+    """The first rows of a variant, with and without a filter: only the files that hold them are read."""
+    index = cluster.build(table(s, d, "lineitem"), _index_root(s), [cluster.parse_variant("recent=l_shipdate:desc,l_quantity")], partitions=16)
+    variant = index.pick(parse_sort(MIXED))
+    plain = index.process(variant, columns=["l_orderkey,l_quantity"], sort=MIXED, limit=300, row_numbers=True, stable=False)
+    some = index.process(variant, columns=["l_orderkey,l_quantity"], sort=MIXED, filters=["l_quantity < 3"], limit=300, row_numbers=True, stable=False)
+    return plain.select(F.lit("all").alias("of"), "*").unionByName(some.select(F.lit("few").alias("of"), "*"))
+
+
+register(
+    "clustered_top", _clustered_top,
+    " UNION ALL ".join(f"SELECT '{n}' AS of, * FROM (SELECT row_number() OVER ({MIXED_SQL}) AS row_number, l_orderkey, l_quantity FROM lineitem WHERE {w} QUALIFY row_number <= 300)" for n, w in (("all", "TRUE"), ("few", "l_quantity < 3"))),
+)
