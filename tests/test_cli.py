@@ -49,6 +49,12 @@ def test_index_stats_append_join(spark, files, capsys):
     code, out, _ = run(spark, capsys, "process", "-i", files.good, "-m", files.schema, "-x", index, "--index-variant", "big", "--sort", "id:desc", "-C", "id", "--limit", "2")
     assert code == 0 and out == '"id"\n"3"\n"2"\n'
     assert run(spark, capsys, "process", "-i", files.good, "-x", index, "--index-variant", "no", "--sort", "id:desc")[0] == 1
+    code, out, _ = run(spark, capsys, "process", "-i", files.bad, "-m", files.schema, "-x", index, "--sort", "id:desc", "-C", "id")
+    assert code == 1  # the index is of another input
+    flat = files.dir / "flat.csv"
+    flat.write_text("id,v\n1,a\n2,b\n")
+    code, out, _ = run(spark, capsys, "process", "-i", flat, "--no-multiline", "--sort", "id:desc")
+    assert code == 0 and out == '"id","v"\n"2","b"\n"1","a"\n'
     code, out, _ = run(spark, capsys, "stats", "-i", files.good, "-m", files.schema, "-C", "amount,id")
     assert code == 0 and out.splitlines()[2].split() == ["amount", "2", "2.50", "7.00", "4.75", "4.75", "3.18"]
     code, out, _ = run(spark, capsys, "stats", "-i", files.good, "-m", files.schema, "--frequency", "-C", "day", "--top", "3")
@@ -83,8 +89,30 @@ def test_sources(spark, tmp_path, monkeypatch):
     coded.write_bytes("näme\nö\n".encode("cp1252"))
     assert D.read_delimited(spark, str(coded), code="windows-1252").first()[0] == "ö"
     out = tmp_path / "o.csv"
-    with pytest.raises(UserError):
-        D.write_delimited(spark.createDataFrame([("日",)], ["a"]), str(out), code="latin-1")
+    for code in ("latin-1", "ascii", "cp1252"):
+        with pytest.raises(UserError):
+            D.write_delimited(spark.createDataFrame([("日",)], ["a"]), str(out), code=code)
+    D.write_delimited(spark.createDataFrame([("é \"x\"", None), ("", "y")], "a string, b string").coalesce(1), str(out), code="latin-1", sep=";")
+    assert out.read_bytes() == '"a";"b"\n"é ""x""";""\n"";"y"\n'.encode("latin-1") and not list(tmp_path.glob("*.parts-*")) and not list(tmp_path.glob(".*crc"))
+    D.write_delimited(spark.range(1000).repartition(5).sort("id"), str(out))
+    assert out.read_text().splitlines() == ['"id"'] + [f'"{i}"' for i in range(1000)]
+    D.write_delimited(spark.range(0), str(out))
+    assert out.read_text() == '"id"\n'
+
+
+def test_undecodable_input(spark, tmp_path, capsys):
+    """A wrong byte fails the job; inference skips and counts such cells; U+FFFD itself is text."""
+    bad = tmp_path / "bad.csv"
+    bad.write_bytes(b"\xef\xbb\xbfname,qty\ncaf\xe9,1\n\xef\xbf\xbd ok,2\n\xc3\xa9,3\n")
+    with pytest.raises(Exception, match="cannot be decoded"):
+        D.read_delimited(spark, str(bad)).collect()
+    assert [tuple(r) for r in D.read_delimited(spark, str(bad), undecoded="skip").collect()] == [("", "1", 1), ("\ufffd ok", "2", 0), ("é", "3", 0)]
+    code, out, _ = run(spark, capsys, "schema", "probe", "-i", str(bad))
+    assert code == 0 and "could not be decoded: 1" in out
+    assert run(spark, capsys, "process", "-i", str(bad))[0] == 1
+    wide = tmp_path / "wide.csv"
+    wide.write_bytes("a\nx\n".encode("utf-16"))
+    assert D.read_delimited(spark, str(wide), code="utf-16", header=True).first()[0] == "x"
     with pytest.raises(UserError):
         D.delimiter("ab")
     assert D.delimiter("pipe") == "|" and D.output_delimiter("x.tsv", None, ",") == "\t" and D.output_delimiter(None, None, ";") == ";"

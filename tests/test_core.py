@@ -1,9 +1,10 @@
 import datetime as dt
+import statistics
 import uuid
 from decimal import Decimal
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from quillframe.functions.cells import literal, parse_cell, render_cell
 from quillframe.functions.expressions import normalize_name, tokenize
 from quillframe.functions.strftime import spark_pattern
 from quillframe.operators import cluster, combine, infer, stats, verify
+from quillframe.operators.binding import ORDINAL, with_ordinal
 from quillframe.operators.filters import parse_condition
 from quillframe.operators.transform import parse_sort, process
 from quillframe.plans.render import render_table
@@ -166,6 +168,81 @@ def test_mappings(spark):
             Schema([ColumnMeta("a", kind, mappings=[step])]).check()
 
 
+def test_currency_digits(spark):
+    """Quantising cuts digits and never adds them; what has 1 or 3 then is no currency."""
+    rows = spark.createDataFrame([(v,) for v in ("12.3", "1.23", "1.234", "1.23456", "7", "1.2345", "(0.125)")], ["a"])
+
+    def shown(scale=None, how="round", then=()):
+        options = {"scale": scale} if scale else {}
+        return [r.a for r in process(rows, Schema([ColumnMeta("a", then[-1].target if then else CURRENCY, mappings=[Mapping(STRING, CURRENCY, how, options), *then])])).collect()]
+
+    assert shown(4) == [None, "1.23", None, "1.2346", "7.00", "1.2345", None]
+    assert shown(2) == [None, "1.23", "1.23", "1.23", "7.00", "1.23", "-0.13"]
+    assert shown() == [None, "1.23", "1.23", "1.2346", "7.00", "1.2345", "-0.13"]
+    assert shown(how="truncate") == [None, "1.23", "1.23", "1.2345", "7.00", "1.2345", "-0.12"]
+    assert shown(then=[Mapping(CURRENCY, CURRENCY, "round", {"scale": 2})]) == [None, "1.23", "1.23", "1.23", "7.00", "1.23", "-0.13"]
+    assert shown(then=[Mapping(CURRENCY, STRING)])[3:5] == ["1.2346", "7.00"]
+    found = verify.violations(rows, Schema([ColumnMeta("a", CURRENCY, mappings=[Mapping(STRING, CURRENCY, "round", {"scale": 4})])]))
+    assert sorted((r.row, r.raw) for r in found.collect()) == [(2, "12.3"), (4, "1.234"), (8, "(0.125)")]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Europe/Berlin", "UTC"])
+def test_no_zone_moves_a_datetime(spark, zone):
+    """Hours that a zone skips or repeats stay as they are written."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2024-03-10 02:30:00", "2024-03-31 02:30:00", "2024-11-03 01:30:00", "1969-07-20 20:17:40", "0099-01-02 03:04:05"]
+        rows = spark.createDataFrame([(t, t.replace(" ", "T") + "Z") for t in texts], ["at", "other"])
+        schema = Schema([ColumnMeta("at", DATETIME), ColumnMeta("other", DATETIME, mappings=[Mapping(STRING, DATETIME, None, {"format": "%Y-%m-%dT%H:%M:%SZ"})])])
+        derive = ["later=datetime_add_seconds(at, 60)", 'form=datetime_format(at, "%H:%M on %d/%m/%Y (%I %p)")', "day=datetime_to_date(at)", "time=datetime_to_time(at)"]
+        got = process(rows, schema, derive=derive).collect()
+        for t, r in zip(texts, got):
+            at = dt.datetime.fromisoformat(t)
+            form = at.strftime(f"%H:%M on %d/%m/{at.year:04} (%I %p)")
+            assert tuple(r) == (t, t, (at + dt.timedelta(seconds=60)).isoformat(sep=" "), form, t[:10], t[11:])
+        assert process(rows, schema, filters=["at >= 2024-03-10 02:30:00"]).count() == 3
+        typed = process(rows, schema, columns=["at"], as_text=False).collect()
+        assert [r.at for r in typed] == [dt.datetime.fromisoformat(t) for t in texts]
+        chain = Schema([ColumnMeta("at", STRING, mappings=[Mapping(STRING, DATETIME), Mapping(DATETIME, STRING, None, {"format": "%d.%m.%Y %H:%M"})]), ColumnMeta("other")])
+        assert process(rows, chain).first().at == "10.03.2024 02:30"
+        times = Schema([ColumnMeta("at", TIME, mappings=[Mapping(STRING, DATETIME), Mapping(DATETIME, TIME)]), ColumnMeta("other")])
+        assert process(rows, times).first().at == "02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_ordinals_of_shuffled_rows(spark):
+    """Rows of a plan that may partition otherwise the next time are written before they are numbered."""
+    rows = spark.range(1000).selectExpr("id % 37 AS k", "id").repartition(7, "k").join(spark.range(37).withColumnRenamed("id", "k"), "k")
+    got = with_ordinal(rows).collect()
+    assert sorted(r[ORDINAL] for r in got) == list(range(1, 1001))
+    again = process(rows, columns=["id"], sort=["k"], row_numbers=True).collect()
+    assert sorted(r.row_number for r in again) == list(range(1, 1001))
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float), st.floats(-1e6, 1e6)), max_size=40))
+@settings(max_examples=12, deadline=None)
+def test_medians(spark, values):
+    found = stats.summarize(spark.createDataFrame([(v,) for v in values], "v double").repartition(3)).first()
+    known = [v for v in values if v is not None]
+    assert found["count"] == len(known) and found.median == (statistics.median(known) if known else None)
+
+
+def test_median_beside_its_bracket(spark, monkeypatch):
+    """A bracket that misses the middle is widened; values outside are only counted."""
+    rows = spark.range(100_001).selectExpr("CAST(id % 10007 AS DOUBLE) AS m0", "CAST('NaN' AS DOUBLE) AS m1")
+    want = statistics.median(i % 10007 for i in range(100_001))
+    for low, high in ((4990.0, 5020.0), (0.0, 10.0), (9000.0, 9001.0)):
+        assert stats._medians(rows, [(100_001, low, high), (0, None, None)])[0] == want
+
+
+def test_first_distinct_values(spark):
+    rows = spark.createDataFrame([(v,) for v in ["b", "a", " b ", "NA", "", "c", "d", "e", "f", "f", "a"]], ["x"]).coalesce(1)
+    found = infer.infer(rows)
+    assert found.observations == ["b (2), a (2), c (1), d (1), e (1), other (2)"] and found.samples == ["b"]
+
+
 def test_schema_files(tmp_path):
     schema = manual_schema(["id:integer->key,name:string"], ["name=a->b"])
     schema.columns[0].mappings = [Mapping(STRING, INTEGER)]
@@ -244,6 +321,13 @@ def test_cluster(spark, tmp_path):
     assert best.name == "v_a-desc_b-asc" and index.pick(parse_sort(["b"])) is None
     plain, fast = (process(x, schema, sort=["a:desc,b"], limit=10).collect() for x in (rows, index.read(best)))
     assert plain == fast
+    for how in (dict(limit=3), dict(limit=12, filters=["b > 20"]), dict(limit=0), dict(limit=500, filter_exprs=["row_number % 2 == 0"]), dict(), dict(limit=2, filters=["b > 1000"])):
+        assert index.process(best, schema, sort=["a:desc,b"], **how).collect() == process(rows, schema, sort=["a:desc,b"], **how).collect()
+    many = cluster.build(rows, str(tmp_path / "many"), [cluster.parse_variant("a:desc")], schema, partitions=7, source="v1")
+    top = many.process(many.variants[0], schema, sort=["a:desc,b"], limit=4)
+    assert len(top.inputFiles()) == 1 and [r.b for r in top.collect()] == ["6", "13", "20", "27"]
+    with pytest.raises(UserError, match="changed"):
+        cluster.load(spark, str(tmp_path / "many")).check("v2")
     with pytest.raises(UserError):
         index.pick(sort, "v_a-asc")
     part = cluster.build(rows, str(tmp_path / "part"), [cluster.parse_variant("a")], schema, limit=5)

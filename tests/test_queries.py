@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillframe.plans import queries as core
+from quillframe.plans import coverage, queries  # noqa: F401
+from quillframe.plans import registry as core
 
 SF = "/root/testdata/sf0.001"
 SLOW = ("filter_null_table", "infer_types")
@@ -33,6 +34,6 @@ def test_oracle(spark, con, name):
 
 
 def test_contract(spark):
-    assert len(__spark_entry__.queries()) >= 70
+    assert len(core.QUERIES) >= 130 and set(core.QUERIES) == set(core.ORACLES)
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
     assert __spark_entry__.entry(spark).count() == 20
