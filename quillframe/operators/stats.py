@@ -69,7 +69,8 @@ def summarize(df: DataFrame, schema: Schema | None = None, *, columns: Sequence[
     """column, count, min, max, mean, median, std_dev, scale: one row a column.
 
     One pass gives all but the median, and for each median a bracket of values
-    around it; a second pass counts the values in the brackets.
+    around it; where that is not one value, a second pass counts the values in
+    the brackets.
 
     Values are doubles: of dates, days since 1970; of datetimes, seconds since
     1970; of times, seconds of the day. ``std_dev`` is the sample deviation,
@@ -99,8 +100,8 @@ def _medians(rows: DataFrame, brackets: list[tuple[int, float | None, float | No
     Only values between low and high are told apart; those below are counted.
     So what one column's window sees is a small, fixed share of its rows.
     """
-    open_ = [i for i, (n, _, _) in enumerate(brackets) if n]
-    out: list[float | None] = [None] * len(brackets)
+    out: list[float | None] = [low if n and low == high else None for n, low, high in brackets]
+    open_ = [i for i, (n, _, _) in enumerate(brackets) if n and out[i] is None]
     if not open_:
         return out
     places, wanted = [], F.lit(False)
