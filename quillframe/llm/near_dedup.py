@@ -14,9 +14,9 @@
 4. Links become components by large-star and small-star.
 5. Buckets that still hold several components may hide links that do not touch
    the pivot. Their members outside the bucket's largest component are compared
-   with all its members, in blocks: first the signatures, which only mark the
-   members that have a candidate at all, then the full sets of those, where a
-   matrix product over the shared shingles counts all intersections at once.
+   with all its members, in blocks: first the signatures, in large blocks, which
+   only mark the members that have a candidate at all, then the full sets of
+   those, where a matrix product over the shared shingles counts all intersections at once.
    Only links that join components leave a task. No cap drops a pair.
 
 Hot buckets, pivots and classes are dealt over several tasks by ``spread_join``.
@@ -50,6 +50,7 @@ class Plan:
     rows: int = 5
     block: int = 256
     block_shingles: int = 400_000
+    block_signatures: int = 4096
 
     @property
     def least_agreeing(self) -> int:
@@ -325,7 +326,7 @@ def residual_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, found:
     sized = nodes.select("node", "n_shingles", "sig")
     open_members = spread_join(placed.drop("m"), once.select("key", "largest"), ["key"], once.select("key", F.col("m").alias("n")), total, ["node"])
     open_members = materialise(open_members.withColumn("stray", F.col("component") != F.col("largest")).drop("largest"), "strays")
-    first = _dealt(open_members.withColumn("weight", F.lit(1)), 1, plan.block)
+    first = _dealt(open_members.withColumn("weight", F.lit(1)), 1, plan.block_signatures)
     marked = first.join(sized.drop("n_shingles"), "node").groupBy("key", "i", "j").applyInPandas(_block_candidates(plan), "key long, node long")
     marked = materialise(marked.distinct(), "marked")
     chosen = open_members.join(marked, ["key", "node"]).join(sized.select("node", F.col("n_shingles").alias("weight")), "node")
