@@ -15,13 +15,14 @@ from pyspark.sql.types import StructField, StructType
 from quillframe.storage import PART, WITHIN, discard, materialise, numbered, shared_dir
 
 __all__ = [
-    "MASK64", "UPPER", "ascii_lower", "discard", "extend", "free_names", "held_out", "keep_rows", "labelled_sample", "materialise", "numbered",
+    "MASK64", "UPPER", "ascii_lower", "bound_batches", "discard", "extend", "free_names", "held_out", "keep_rows", "labelled_sample", "materialise", "numbered",
     "occurrence", "row_key", "sampled_crops", "shared_dir", "slices", "splitmix", "spread_join", "table",
 ]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MASK64 = (1 << 64) - 1
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,17 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = stop
 
 
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches hold ``rows`` rows, unless the session's owner chose a number.
+
+    Spark's own default is 10,000 rows or 64 MB, which JVM and worker hold
+    several times over. The number is read when a plan runs, so it cannot be
+    put back while results are still to be computed.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def extend(df: DataFrame, reads: Sequence[str], added: Sequence[StructField], make: Callable[[], Callable], keep: bool = True) -> DataFrame:
     """``df`` (or none of its columns, without ``keep``) with columns that Python computes.
 
@@ -47,6 +59,7 @@ def extend(df: DataFrame, reads: Sequence[str], added: Sequence[StructField], ma
     columns ``reads`` (a text column first) to the added columns. The other
     columns pass as Arrow arrays and are not touched.
     """
+    bound_batches(df.sparkSession)
     names = df.columns
     fields = [*(df.schema.fields if keep else []), *added]
     kinds = [to_arrow_type(f.dataType) for f in added]
