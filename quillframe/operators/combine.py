@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillframe.errors import UserError
 from quillframe.functions.cells import render_cell
-from quillframe.operators.binding import Bound, Field, bind, quoted
+from quillframe.operators.binding import Field, bind, quoted
 from quillframe.operators.transform import listed
 from quillframe.schema import Schema
 from quillframe.types import ColumnType

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import cluster, combine, infer, stats, verify
 from quillframe.operators.transform import parse_sort, process
-from quillframe.plans.registry import ORACLES, QUERIES, on, register, table
+from quillframe.plans.registry import ORACLES, on, register, table
 from quillframe.schema import ColumnMeta, Mapping, Schema
 from quillframe.storage import shared_dir
 from quillframe.types import CURRENCY, DATE, DATETIME, FLOAT, INTEGER, STRING, ColumnType
