@@ -46,7 +46,8 @@ def sanitized(text: Column, currency: bool) -> Column:
     negative = wrapped | body.startswith("-")
     digits = F.regexp_replace(body, r"^[+-]", "")
     ok = digits.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$")
-    return F.when(ok, F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits))
+    plain = t.rlike(r"^-?[0-9]+\.?[0-9]*$")  # most cells, and already what is wanted
+    return F.when(plain, t).otherwise(F.when(ok, F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)))
 
 
 def scale_of(number: Column) -> Column:
