@@ -52,16 +52,18 @@ def bound_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
-def extend(df: DataFrame, reads: Sequence[str], added: Sequence[StructField], make: Callable[[], Callable], keep: bool = True) -> DataFrame:
-    """``df`` (or none of its columns, without ``keep``) with columns that Python computes.
+def extend(df: DataFrame, reads: Sequence[str], added: Sequence[StructField], make: Callable[[], Callable], keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` (or only its columns ``keep``) with columns that Python computes.
 
     ``make()`` is called once a task and gives a function from lists of the
     columns ``reads`` (a text column first) to the added columns. The other
-    columns pass as Arrow arrays and are not touched.
+    columns pass as Arrow arrays and are not touched; columns that are not kept
+    do not travel back from Python.
     """
     bound_batches(df.sparkSession)
     names = df.columns
-    fields = [*(df.schema.fields if keep else []), *added]
+    kept = [i for i, c in enumerate(names) if keep is None or c in keep]
+    fields = [*(df.schema.fields[i] for i in kept), *added]
     kinds = [to_arrow_type(f.dataType) for f in added]
     at = [names.index(c) for c in reads]
 
@@ -71,7 +73,7 @@ def extend(df: DataFrame, reads: Sequence[str], added: Sequence[StructField], ma
             for part in slices(batch, at[0]):
                 found = compute(*[part.column(i).to_pylist() for i in at])
                 new = [pa.array(v, k) for v, k in zip(found, kinds)]
-                yield pa.RecordBatch.from_arrays([*(part.columns if keep else []), *new], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *new], names=[f.name for f in fields])
 
     return df.mapInArrow(run, StructType(fields))
 

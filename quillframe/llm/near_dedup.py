@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
     added = [StructField("n_shingles", LongType()), StructField("d1", LongType()), StructField("d2", LongType()), StructField("sig", BinaryType()), StructField("bands", ArrayType(LongType()))]
-    return extend(keyed, ["text"], added, make).drop("text")
+    return extend(keyed, ["text"], added, make, keep=["doc_id", "k1", "k2"])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
@@ -145,7 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     texts = docs.select("text", k1.alias("k1"), k2.alias("k2")).join(wanted, ["k1", "k2"])
     added = [StructField("node", LongType()), StructField("n", LongType()), StructField("shingles", ArrayType(LongType()))]
-    sets = materialise(extend(texts.select("text", F.col("node").alias("of")), ["text", "of"], added, make, keep=False), "sets")
+    sets = materialise(extend(texts.select("text", F.col("node").alias("of")), ["text", "of"], added, make, keep=[]), "sets")
     if sets.groupBy("node").count().where("count > 1").isEmpty():
         return sets
     return materialise(sets.dropDuplicates(["node"]), "sets")  # rows that repeat both id and text

@@ -146,6 +146,14 @@ def test_near_dedup_links_through_rows_without_id(spark):
     assert sorted(r.text for r in near_dedup.drop_near_copies(none, plan).collect())[:3] == [" ", " ", min(texts[0], texts[2])] or near_dedup.drop_near_copies(none, plan).count() == 5
 
 
+def test_near_dedup_texts_stay_in_python(odd):
+    """Sketches come back without the texts they were made of, for all rows."""
+    made = near_dedup.sketches(odd, near_dedup.Plan())
+    (returned,) = re.findall(r"MapInArrow run\(.*?\)#\d+, \[(.*?)\]", made._jdf.queryExecution().optimizedPlan().toString())
+    assert "n_shingles#" in returned and "text#" not in returned
+    assert made.columns == ["doc_id", "k1", "k2", "n_shingles", "d1", "d2", "sig", "bands"] and made.count() == odd.count()
+
+
 def test_near_dedup_odd(odd, none):
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(odd).collect())
     assert got[(1, 0, 1, True)] == 1 and got[(3, 0, 3, True)] == 1 and got[(4, 1, 4, True)] == 2 and got[(5, 1, 4, False)] == 1
