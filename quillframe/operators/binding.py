@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -133,14 +134,37 @@ def bind(df: DataFrame, schema: Schema | None = None, mappings: bool = True) ->
 def with_ordinal(df: DataFrame, start: int = 1) -> DataFrame:
     """``df`` with ``__ordinal``: the contiguous position of each row in input order.
 
-    A plan without shuffles, as of a file scan, gives the same partitions every
-    time: it is counted in one pass and numbered in another, and no row leaves
-    its partition. The rows of any other plan are first written with their
-    places. An offset a partition is joined by broadcast; a row whose partition
-    has none fails the job.
+    Rows of Parquet files are numbered by file, in the order of their paths, and
+    row within it: the files' rows are counted in one pass and numbered in
+    another, and no row moves. Other plans without shuffles and files give the
+    same partitions every time, and are counted and numbered by these. The rows
+    of any other plan are first written with their places. One offset a file or
+    partition is joined by broadcast; a row without one fails the job.
     """
     if ORDINAL in df.columns:
         return df
+    by_file = _by_file(df, start)
+    if by_file is not None:
+        return by_file
     if any(step in df._jdf.queryExecution().executedPlan().toString() for step in ("Exchange", "Limit", "Sample", "InMemory")):
         return numbered(df, ORDINAL, start)
     return offset(df.withColumns({PART: F.spark_partition_id(), WITHIN: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), ORDINAL, start)
+
+
+def _by_file(df: DataFrame, start: int) -> DataFrame | None:
+    """``with_ordinal`` of a projection of Parquet files, else None; how the scan is split may differ between the passes."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation" or "fileFormat" not in dir(plan.relation()) or plan.relation().fileFormat().toString() != "Parquet":
+        return None
+    if any(c.lower() == "_metadata" for c in df.columns):
+        return None
+    try:
+        placed = df.withColumns({PART: F.col("_metadata.file_path"), WITHIN: F.col("_metadata.row_index")})
+    except AnalysisException:  # a projection that hides where its rows come from
+        return None
+    found = placed.groupBy(PART).agg(F.count(F.lit(1)).alias("rows"), F.max(WITHIN).alias("last")).collect()
+    if any(r["rows"] != r["last"] + 1 for r in found):  # a file that is read twice
+        return None
+    return offset(placed, ORDINAL, start, {r[PART]: r["rows"] for r in found})

@@ -31,6 +31,8 @@ from quillframe.schema import Schema
 
 VERSION = 3
 MANIFEST = "manifest"
+#: A variant has at least so many files that each holds about as many rows, so that the memory of a task is bounded.
+ROWS_A_FILE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -107,22 +109,26 @@ def build(df: DataFrame, path: str, variants: Sequence[Variant], schema: Schema
     """Write every variant under ``path`` and the manifest last.
 
     Typed key columns ``__k<i>`` follow mapping and replacement; NULL keys stay.
+    ``partitions`` is the least number of files; larger inputs get more.
     ``source`` names the state of the input (``delimited.fingerprint``).
     """
     rows = with_ordinal(df)
     if limit:
         rows = rows.where(F.col(ORDINAL) <= limit)
-    bound = bind(rows, schema)
+    bound, total = bind(rows, schema), rows.count()
+    least = max(partitions or 0, -(-total // ROWS_A_FILE))
+    if not partitions and least <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        least = 0  # as many as the session makes
     for v in variants:
         keys = [bound.field(k.column).typed for k in v.keys]
         keyed = bound.df.select(*[quoted(c) for c in rows.columns], *[c.alias(f"__k{i}") for i, c in enumerate(keys)])
         order = [F.col(f"__k{i}").asc_nulls_first() if k.ascending else F.col(f"__k{i}").desc_nulls_last() for i, k in enumerate(v.keys)]
-        placed = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
+        placed = keyed.repartitionByRange(least, *order) if least else keyed.repartitionByRange(*order)
         placed.sortWithinPartitions(*order, F.col(ORDINAL).asc()).write.mode("overwrite").parquet(f"{path}/{v.name}")
-        files = df.sparkSession.read.parquet(f"{path}/{v.name}").groupBy(F.regexp_extract(F.input_file_name(), r"[^/]*$", 0).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+        files = df.sparkSession.read.parquet(f"{path}/{v.name}").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
         files.coalesce(1).write.mode("overwrite").parquet(f"{path}/{v.name}.files")  # one row a file
     manifest = {
-        "version": VERSION, "rows": rows.count(), "partial": bool(limit), "source": source, "columns": [c for c in df.columns if c != ORDINAL],
+        "version": VERSION, "rows": total, "partial": bool(limit), "source": source, "columns": [c for c in df.columns if c != ORDINAL],
         "variants": [{"name": v.name, "keys": [[k.column, k.ascending] for k in v.keys]} for v in variants],
     }
     df.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{MANIFEST}")

@@ -85,13 +85,15 @@ def numbered(df: DataFrame, name: str, start: int = 1) -> DataFrame:
     return offset(placed, name, start)
 
 
-def offset(placed: DataFrame, name: str, start: int = 1) -> DataFrame:
-    """Replace the columns ``PART`` and ``WITHIN`` by the position over all partitions."""
+def offset(placed: DataFrame, name: str, start: int = 1, counts: dict | None = None) -> DataFrame:
+    """Replace the columns ``PART`` and ``WITHIN`` by the position over all parts, of which ``counts`` may have the rows."""
+    if counts is None:
+        counts = {r[PART]: r["count"] for r in placed.groupBy(PART).count().collect()}
     offsets, total = [], start
-    for r in sorted(placed.groupBy(PART).count().collect(), key=lambda r: r[PART]):
-        offsets.append((r[PART], total))
-        total += r["count"]
-    known = placed.sparkSession.createDataFrame(offsets, "__known int, __offset bigint")
+    for part in sorted(counts):
+        offsets.append((part, total))
+        total += counts[part]
+    known = placed.sparkSession.createDataFrame(offsets, f"__known {placed.schema[PART].dataType.simpleString()}, __offset bigint")
     position = F.coalesce(F.col("__offset"), F.raise_error(F.lit("the input gave other partitions when read again")).cast("bigint")) + F.col(WITHIN)
     joined = placed.join(F.broadcast(known), F.col(PART) == F.col("__known"), "left")
     kept = [F.col("`" + c.replace("`", "``") + "`") for c in placed.columns if c not in (PART, WITHIN)]

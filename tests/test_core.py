@@ -1,4 +1,6 @@
 import datetime as dt
+import glob
+import os
 import statistics
 import uuid
 from decimal import Decimal
@@ -8,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillframe import storage
 from quillframe.errors import UserError
 from quillframe.functions.cells import literal, parse_cell, render_cell
 from quillframe.functions.expressions import normalize_name, tokenize
@@ -221,6 +224,25 @@ def test_ordinals_of_shuffled_rows(spark):
     assert sorted(r.row_number for r in again) == list(range(1, 1001))
 
 
+def test_ordinals_of_parquet_files(spark, tmp_path):
+    """Rows of Parquet files are numbered where they lie, however the scan is split; a file read twice counts twice."""
+    for i in range(3):
+        spark.range(i * 100, i * 100 + 100, numPartitions=1).write.parquet(f"{tmp_path}/in/k={i}")
+    before, size = set(storage._left), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = with_ordinal(spark.read.parquet(f"{tmp_path}/in").select("id", (F.col("k") + 1).alias("next")))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted((r.id, r.next, r[ORDINAL]) for r in got) == [(i, i // 100 + 1, i + 1) for i in range(300)]
+    assert storage._left == before  # nothing was written
+    twice = with_ordinal(spark.read.parquet(f"{tmp_path}/in/k=1", f"{tmp_path}/in/k=1")).collect()
+    assert sorted(r[ORDINAL] for r in twice) == list(range(1, len(twice) + 1))
+    named = spark.read.parquet(f"{tmp_path}/in/k=2").withColumnRenamed("id", "_metadata")
+    assert sorted(tuple(r) for r in with_ordinal(named).collect()) == [(200 + i, i + 1) for i in range(100)]
+
+
 @given(st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float), st.floats(-1e6, 1e6)), max_size=40))
 @settings(max_examples=12, deadline=None)
 def test_medians(spark, values):
@@ -335,6 +357,21 @@ def test_cluster(spark, tmp_path):
         part.read(part.variants[0])
 
 
+def test_index_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """A larger input has more files than were asked for, not larger ones; their rows stand in the table beside them."""
+    monkeypatch.setattr(cluster, "ROWS_A_FILE", 100, raising=False)
+    rows = spark.range(2000).selectExpr("id * 7919 % 2000 AS a", "id")
+    for partitions in (2, None):
+        index = cluster.build(rows, f"{tmp_path}/{partitions}", [cluster.parse_variant("v=a:desc")], partitions=partitions)
+        files = {r.file: r.rows for r in spark.read.parquet(f"{tmp_path}/{partitions}/v.files").collect()}
+        kept = {os.path.basename(p): spark.read.parquet(p).count() for p in glob.glob(f"{tmp_path}/{partitions}/v/*.parquet")}
+        assert files == {f: n for f, n in kept.items() if n} and len(files) >= 20 and max(files.values()) < 400
+        top = index.process(index.variants[0], sort=["a:desc"], limit=30, filters=["a < 1900"])
+        assert [r.a for r in top.collect()] == list(range(1899, 1869, -1)) and len(top.inputFiles()) < len(files)
+    small = cluster.build(rows.limit(50), f"{tmp_path}/small", [cluster.parse_variant("v=a")], partitions=3)
+    assert spark.read.parquet(f"{tmp_path}/small/v.files").count() == 3 and small.rows == 50
+
+
 def test_table_rendering():
     assert render_table(["a", "long"], [["1", "x\ny"], ["\x1b[31mred\x1b[0m", ""]]).splitlines()[0] == "a    long"
     assert render_table(["a"], [["é"]]) == "a\n---\né\n"
